@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kvspark.llm.catalog import WORD_BPE
+from kvspark.llm.exact import drop_exact_copies
+from kvspark.llm.lshforest import drop_near_copies
+from kvspark.llm.mixing import take_mix
+from kvspark.llm.packing import pack_documents
 from kvspark.llm.quality import quality_rules
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
+from kvspark.llm.tables import written
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules(docs).filter("quality.kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", keep_quality)]
+def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of equal texts."""
+    return drop_exact_copies(docs)
+
+
+def keep_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies."""
+    return drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return take_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return pack_documents(docs, WORD_BPE)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("exact dedup", keep_exact),
+    ("near dedup", keep_near),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Near-duplicate search, mixing and packing are not expressible in SQL.
 ORACLE_SQL = None
@@ -22,8 +51,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
-    from kvspark.llm.tables import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

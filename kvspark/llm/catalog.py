@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvspark.llm.exact import exact_groups
+from kvspark.llm.langid import identify
+from kvspark.llm.lshforest import near_groups
+from kvspark.llm.mixing import mix
+from kvspark.llm.packing import pack_documents
 from kvspark.llm.quality import BASE_RULES, METHOD_RULES, STOP_WORDS, quality_rules
 
+#: Where the public tokenizer files are.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,6 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@register
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies."""
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
@@ -60,3 +88,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
          AND n_dup_lines / n_lines <= 0.4 AND n_bullet_lines / n_lines <= 0.9 AND n_ellipsis_lines / n_lines <= 0.3 AS kept
 FROM j
 """
+
+
+@register
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part in the mix."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts."""
+    return exact_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
+SQL["op10_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
+g AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY n) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g
+"""
