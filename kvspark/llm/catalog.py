@@ -8,16 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvspark.llm.attribution import token_counts
+from kvspark.llm.chat import link_quotes
 from kvspark.llm.exact import exact_groups
 from kvspark.llm.langid import identify
+from kvspark.llm.licenses import scan
 from kvspark.llm.lshforest import near_groups
 from kvspark.llm.mixing import mix
 from kvspark.llm.packing import pack_documents
 from kvspark.llm.quality import BASE_RULES, METHOD_RULES, STOP_WORDS, quality_rules
+from kvspark.llm.urls import judge
 
 #: Where the public tokenizer files are.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +55,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 @register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
@@ -90,12 +101,31 @@ FROM j
 """
 
 
+@register
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict."""
+    return judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+@register
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it replies to."""
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 @register
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in the mix."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@register
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences."""
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "whole", F.array_join("licenses", ",").alias("licenses"), "n_units")
+
+
 @register
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts."""

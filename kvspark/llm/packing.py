@@ -47,15 +47,15 @@ def tokenised(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from kvspark.llm.wordbpe import WordIds
+        from kvspark.llm.wordbpe import word_ids
 
-        words, last = WordIds(tokenizer), np.array([end], dtype="<u4").tobytes()
+        words, last = word_ids(tokenizer), np.array([end], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 place, piece, start, length, crc = [], [], [], [], []
-                texts = (x.as_py() or "" for x in part.column(2))
+                texts = [x.as_py() or "" for x in part.column(2)]
                 for i, ids in enumerate(words.encode(texts)):
                     ids += last
                     for k, b in enumerate(range(0, len(ids), step)):

@@ -1,24 +1,29 @@
 """Token ids of a word-level BPE tokenizer file, computed once per distinct word.
 
-The tokenizer drops white space and splits a text into pre-tokens, none of which
-spans white space, and BPE never looks beyond a pre-token. So a text's ids are
-those of its words one after the other, and a word met before needs no BPE. A
-text with special tokens, or with characters on which notions of white space
-differ, is encoded whole.
+The tokenizer composes characters (NFC), lower-cases, drops white space and splits
+a text into pre-tokens, none of which spans white space, and BPE never looks
+beyond a pre-token. So a text's ids are those of its lower-cased words one after
+the other, and a word met before needs no BPE. New words are encoded together
+and told apart by offsets. A text with special tokens, with characters on which
+notions of white space or lower case differ, or not composed, is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words, and characters in them, kept at most per Python worker; beyond either the table starts anew.
-MOST_WORDS, MOST_CHARS = 500_000, 16_000_000
-#: White space other than the four common ones, controls and format characters: such a text is encoded whole.
-_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+MOST_WORDS, MOST_CHARS = 1_200_000, 16_000_000
+#: White space other than the four common ones, controls and format characters, capitals with contextual lower case.
+_ODD = re.compile(
+    "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+)
 
 
 class WordIds:
@@ -33,23 +38,37 @@ class WordIds:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _plain(self, text: str) -> bool:
+        return not (_ODD.search(text) or self.special.search(text)) and unicodedata.is_normalized("NFC", text)
+
+    def _learn(self, words: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found))
+        begins = np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = (4 * np.searchsorted(starts, begins)).tolist()
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        for i, word in enumerate(words):
+            self.known[word] = raw[cuts[i] : cuts[i + 1]]
+        self.chars += int(begins[-1])
+
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """Ids of each text; give a few dozen texts at a time."""
         known = self.known
-        for text in texts:
-            if _ODD.search(text) or "<|" in text and self.special.search(text):
-                yield self._whole(text)
-                continue
-            words = text.split()
-            try:
-                yield b"".join(map(known.__getitem__, words))
-                continue
-            except KeyError:
-                pass
-            if len(known) > MOST_WORDS or self.chars > MOST_CHARS:
-                known.clear()
-                self.chars = 0
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-                self.chars += len(word)
-            yield b"".join(map(known.__getitem__, words))
+        if len(known) > MOST_WORDS or self.chars > MOST_CHARS:
+            known.clear()
+            self.chars = 0
+        split = [text.lower().split() if self._plain(text) else None for text in texts]
+        new: set[str] = set()
+        for words in split:
+            if words:
+                new.update(words)
+        if missing := [w for w in new if w not in known]:
+            self._learn(missing)
+        for text, words in zip(texts, split, strict=True):
+            yield self._whole(text) if words is None else b"".join(map(known.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The encoder of a file, kept with its words between the tasks of a Python worker."""
+    return WordIds(path)
