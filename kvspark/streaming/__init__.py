@@ -1,0 +1 @@
+"""Logs as streams."""
