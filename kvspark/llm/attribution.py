@@ -65,12 +65,13 @@ def allocate(
 
     head, tail = at(first), at(last - 1)
     owner = tail if rule == "end" else head
-    if rule == "most":
+    if rule == "most" and len(starts):
         owner = head.copy()
-        for i in np.flatnonzero(head != tail):
-            low, high = max(np.searchsorted(ends, first[i], side="right"), 0), np.searchsorted(starts, last[i])
-            share = np.minimum(ends[low:high], last[i]) - np.maximum(starts[low:high], first[i])
-            owner[i] = low + int(share.argmax()) if len(share) and share.max() > 0 else -1
+        low, high = np.searchsorted(ends, first, side="right"), np.searchsorted(starts, last)
+        for i in np.flatnonzero(((head != tail) | (head < 0)) & (high > low)):
+            k = slice(low[i], high[i])
+            share = np.minimum(ends[k], last[i]) - np.maximum(starts[k], first[i])
+            owner[i] = low[i] + int(share.argmax()) if share.max() > 0 else -1
     inside = owner >= 0
     crossing = inside & ((head != tail) | (head < 0))
     n = len(starts)

@@ -22,7 +22,7 @@ rows are documents of their own. Rows of an empty table: none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,10 +39,13 @@ SEED = 8
 _EPS = 1e-9
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size)"""
+def sized(docs: DataFrame, doc_id: str, text: str, source: str, row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, row)"""
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), number.alias("row")
+    )
 
 
 def numbered_sources(sources: DataFrame) -> DataFrame:
@@ -168,9 +171,7 @@ def mix(
     row: str | None = None,
 ) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, copies, taken): one row per row of ``docs``."""
-    own = sized(docs, doc_id, text, source)
-    own = own.withColumn("row", docs[row]) if row else own.withColumn("row", F.monotonically_increasing_id())
-    own = written(own, "sized")
+    own = written(sized(docs, doc_id, text, source, row), "sized")
     share = written(targets(own, weights, most).withColumnRenamed("source", "its_source"), "targets")
     kind = dict(own.dtypes)["doc_id"]
     schema = _SCHEMA.format(kind)

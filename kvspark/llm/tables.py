@@ -1,48 +1,5 @@
-"""Tables written to the folder that all executors share, and read again.
+"""Tables written to the folder that all executors share; see ``kvspark.sources.scratch``."""
 
-A written table cuts lineage: what was computed once is not computed again when
-an executor is lost or when two branches of a plan need it. Files are removed
-when the driver's Python ends.
-"""
+from kvspark.sources.scratch import scratch_path, shared_folder, written
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local temporary folder only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kvspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(_remove, spark, folder)
-    return folder
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before; the cluster then cleans its folder
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove what ``written`` wrote, once nothing will read it."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+__all__ = ["scratch_path", "shared_folder", "written"]

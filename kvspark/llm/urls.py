@@ -137,8 +137,10 @@ def threshold(scored: DataFrame) -> float:
     # Cutting below a bin loses the allowed under it and keeps the blocked in it and above.
     lost = F.coalesce(F.sum("good").over(below), F.lit(0.0)) / F.sum("good").over(whole)
     gained = F.coalesce(F.sum("bad").over(below), F.lit(0.0)) / F.sum("bad").over(whole)
-    best = held.select("bin", (lost - gained).alias("loss")).orderBy("loss", "bin").first()
-    return best["bin"] * STEP - SPAN
+    # The cut lies midway between the last score below it and the first above.
+    before = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))
+    best = held.select("bin", before.alias("before"), (lost - gained).alias("loss")).orderBy("loss", "bin").first()
+    return (best["bin"] + best["before"]) / 2 * STEP - SPAN
 
 
 def judge(
