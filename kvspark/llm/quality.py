@@ -191,4 +191,6 @@ def quality_rules(
         failed.alias("base_failed"),
         (~failed & _passes(rules, metric)).alias("kept"),
     )
+    # Unnesting is a step that filters on the verdict don't pass; below it they would repeat every expression.
+    judged = F.explode(F.array(judged))
     return measured.withColumn("quality", judged).drop("__words", "__repeated", "__counts")
