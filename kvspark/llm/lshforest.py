@@ -45,7 +45,7 @@ RECALL = 0.99
 #: Texts in a node on average, and at most before the trie goes deeper.
 LEAF, DENSE = 512, 4096
 #: Rows of one trie partition.
-RANGE = 60_000
+RANGE = 300_000
 #: Shingles verified in one task at once, about.
 BLOCK = 400_000
 SEED = 3
