@@ -12,12 +12,12 @@ from kvspark.llm.attribution import token_counts
 from kvspark.llm.chat import link_quotes
 from kvspark.llm.exact import exact_groups
 from kvspark.llm.langid import identify
-from kvspark.llm.licenses import scan
+from kvspark.llm.licenses import COPYRIGHT, KNOWN, SPELLINGS, scan
 from kvspark.llm.lshforest import near_groups
 from kvspark.llm.mixing import mix
 from kvspark.llm.packing import pack_documents
 from kvspark.llm.quality import BASE_RULES, METHOD_RULES, STOP_WORDS, quality_rules
-from kvspark.llm.urls import judge
+from kvspark.llm.urls import ALPHABET, SEEN, SIZE, SPAN, STEP, judge
 
 #: Where the public tokenizer files are.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -138,3 +138,73 @@ g AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length
              count(*) OVER (PARTITION BY n) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g
 """
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    out = f"regexp_replace(coalesce({column}, ''), '\\r\\n?', chr(10), 'g')"
+    out = f"lower(regexp_replace({out}, {_sql_text('(?im)' + COPYRIGHT)}, '', 'g'))"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, {_sql_text(old)}, {_sql_text(new)})"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    return f"regexp_replace({out}, ' ?\\n ?', chr(10), 'g')"
+
+
+def _digest(column: str) -> str:
+    return f"sha256(trim(regexp_replace({column}, '\\s+', ' ', 'g')))"
+
+
+SQL["op9_license_scans"] = f"""
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, {_digest("t")} AS digest FROM
+  (SELECT license, {_canonical("text")} AS t FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN)}) AS v(license, text)))
+  GROUP BY digest),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical("text")} AS t FROM documents),
+u AS (SELECT r, 'whole' AS kind, t AS x FROM d
+  UNION ALL SELECT r, 'part', unnest(list_filter(string_split(t, chr(10)), lambda x: x <> '')) FROM d
+  UNION ALL SELECT r, 'part', unnest(list_filter(regexp_split_to_array(t, '\\n{{2,}}'), lambda x: contains(trim(x), chr(10)))) FROM d),
+f AS (SELECT r, kind, license FROM (SELECT r, kind, {_digest("x")} AS digest FROM u) AS x JOIN k ON k.digest = x.digest)
+SELECT d.doc_id, max(CASE WHEN kind = 'whole' THEN license END) AS whole,
+  coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, count(CASE WHEN kind = 'part' THEN 1 END) AS n_units
+FROM d LEFT JOIN f ON d.r = f.r GROUP BY d.r, d.doc_id
+"""
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL["op6_url_filters"] = rf"""
+WITH s AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
+  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_CAPITALS}', '{_CAPITALS.lower()}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+u AS (SELECT *, CASE
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+  list_transform(string_split('^^' || regexp_replace(regexp_replace(lower(url), '[0-9]', '0', 'g'), '[^a-z0./\-_?=&#%:]', '*', 'g') || '$', ''),
+    lambda c: instr('{ALPHABET}', c) - 1) AS codes FROM s),
+g AS (SELECT r, page_id, host, path, rule, rule IN ('example.net/en/', 'org/fr/') AS allow,
+  list_transform(generate_series(3, len(codes)), lambda i: (codes[i - 2] * {SIZE} + codes[i - 1]) * {SIZE} + codes[i]) AS grams FROM u),
+n AS (SELECT allow, gram, count(*) AS n FROM (SELECT allow, unnest(grams) AS gram FROM g WHERE rule IS NOT NULL) GROUP BY allow, gram),
+full0 AS (SELECT x.allow, x.gram, x.gram // {SIZE * SIZE} AS a, x.gram // {SIZE} % {SIZE} AS b, x.gram % {SIZE} AS c, coalesce(n.n, 0) AS n3
+  FROM (SELECT unnest(generate_series(0, {SIZE**3 - 1})) AS gram, allow FROM (VALUES (true), (false)) AS v(allow)) AS x
+  LEFT JOIN n ON n.gram = x.gram AND n.allow = x.allow),
+full1 AS (SELECT *, sum(n3) OVER (PARTITION BY allow, b, c) AS n2, sum(n3) OVER (PARTITION BY allow, c) AS n1 FROM full0),
+full2 AS (SELECT *, sum(n3) OVER (PARTITION BY allow, a, b) AS ctx2, sum(CAST(n3 > 0 AS INT)) OVER (PARTITION BY allow, a, b) AS kinds2,
+  sum(CASE WHEN a = 0 THEN n2 ELSE 0 END) OVER (PARTITION BY allow, b) AS ctx1,
+  sum(CASE WHEN a = 0 AND n2 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY allow, b) AS kinds1,
+  sum(CASE WHEN a = 0 AND b = 0 THEN n1 ELSE 0 END) OVER (PARTITION BY allow) AS total FROM full1),
+p0 AS (SELECT *, CAST(n1 + 1 AS DOUBLE) / (total + {SIZE}) AS q0 FROM full2),
+p1 AS (SELECT *, CASE WHEN ctx1 < {SEEN} THEN q0 ELSE (n2 + kinds1 * q0) / (ctx1 + kinds1) END AS q1 FROM p0),
+p2 AS (SELECT *, CASE WHEN ctx2 < {SEEN} THEN q1 ELSE (n3 + kinds2 * q1) / (ctx2 + kinds2) END AS q2 FROM p1),
+m AS (SELECT list(d ORDER BY gram) AS d FROM (SELECT gram, sum(CASE WHEN allow THEN ln(q2) ELSE -ln(q2) END) AS d FROM p2 GROUP BY gram)),
+sc AS (SELECT g.*, list_sum(list_transform(grams, lambda x: m.d[x + 1])) / greatest(len(grams), 1) AS score FROM g, m),
+h AS (SELECT least(greatest(floor((score + {SPAN}) / {STEP}), 0), {int(2 * SPAN / STEP)}) AS bin,
+  sum(CAST(allow AS INT)) AS good, sum(CAST(NOT allow AS INT)) AS bad FROM sc WHERE rule IS NOT NULL GROUP BY 1),
+l AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) AS before,
+  coalesce(sum(good) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(good) OVER ()
+  - coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(bad) OVER () AS loss FROM h),
+t AS (SELECT (bin + before) / 2 * {STEP} - {SPAN} AS cut FROM l ORDER BY loss, bin LIMIT 1)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN score >= cut THEN 'allow' ELSE 'block' END AS verdict FROM sc, t
+"""

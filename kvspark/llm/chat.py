@@ -28,7 +28,7 @@ from kvspark.llm.tables import written
 
 #: Hashes of passages with fewer letters and digits say nothing about their origin.
 LEAST_CHARS = 8
-_MARKS = r"^[ \t]*(?:>[ \t]?)+"
+_MARKS = r"^[ \t]*>[> \t]*"
 
 
 def parsed(text: Column) -> Column:
@@ -44,19 +44,22 @@ def parsed(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """[(depth, text)] of the runs of lines of one depth; empty lines of depth 0 end a run."""
-    empty = F.array().cast("array<struct<depth:int,text:string>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        same = (last["depth"] == x["depth"]) & (F.trim(x["line"]) != "") & (F.trim(last["text"]) != "")
-        grown = F.struct(x["depth"].alias("depth"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))
-        new = F.struct(x["depth"].alias("depth"), x["line"].alias("text"))
-        return F.when(F.coalesce(same, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(
-            F.concat(done, F.array(new))
-        )
-
-    return F.filter(F.aggregate(lines, empty, step), lambda p: F.trim(p["text"]) != "")
+    """[(depth, text)] of the runs of lines of one depth, in time linear in the lines; empty lines end a run."""
+    blank = lambda x: F.trim(x["line"]) == ""
+
+    def marked(x: Column, i: Column) -> Column:
+        last = F.get(lines, i - 1)
+        goes_on = (last["depth"] == x["depth"]) & ~blank(x) & ~blank(last)
+        start = F.concat(F.lit("\x01"), x["depth"].cast("string"), F.lit("\x02"))
+        clean = F.translate(x["line"], "\x01\x02", "")
+        return F.when(F.coalesce(goes_on, F.lit(False)), F.concat(F.lit("\n"), clean)).otherwise(F.concat(start, clean))
+
+    runs = F.split(F.array_join(F.transform(lines, marked), ""), "\x01")
+    parts = F.transform(
+        F.filter(runs, lambda r: r != ""),
+        lambda r: F.struct(F.substring_index(r, "\x02", 1).cast("int").alias("depth"), F.substring_index(r, "\x02", -1).alias("text")),
+    )
+    return F.filter(parts, lambda p: F.trim(p["text"]) != "")
 
 
 def normalised(text: Column) -> Column:
@@ -99,7 +102,7 @@ def link_quotes(
         "conv_id",
         "turn",
         "role",
-        F.regexp_replace(F.regexp_replace(body, r"\n[ \t]*(\n[ \t]*)+", "\n\n"), r"^\s+|\s+$", "").alias("text"),
+        F.regexp_replace(F.regexp_replace(body, r"\n[ \t]*\n[ \t\n]*", "\n\n"), r"^\s+|\s+$", "").alias("text"),
         _hashes(F.concat(F.array(body), said, F.transform(F.filter("lines", lambda x: x["depth"] == 0), lambda x: x["line"]))).alias("units"),
         F.transform(
             quoted,

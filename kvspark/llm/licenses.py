@@ -23,8 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that begin with these words name a holder and not a licence.
-COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
+#: Lines that begin with these words name a holder and not a licence; for (?im) with ``\n`` as the only line end.
+COPYRIGHT = r"^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
 #: Spelling -> the one that is kept; applied to lower-case text.
 SPELLINGS = (
     ("licence", "license"),
@@ -36,7 +36,7 @@ SPELLINGS = (
     ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
     ("non-commercial", "noncommercial"),
-    ("merchantability", "merchantability"),
+    ("merchantibility", "merchantability"),
     ("whilst", "while"),
     ("wilful", "willful"),
     ("per cent", "percent"),
@@ -133,11 +133,10 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 def canonical(text: Column) -> Column:
     """Canonical text; lines stay apart, and so do paragraphs."""
-    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, ""))
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    out = F.lower(F.regexp_replace(out, "(?imd)" + COPYRIGHT, ""))
     for old, new in SPELLINGS:
-        if old != new:
-            out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, r"\r\n?", "\n")
+        out = F.replace(out, F.lit(old), F.lit(new))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     return F.regexp_replace(out, r" ?\n ?", "\n")
 
@@ -154,8 +153,7 @@ def scan(
     ``whole`` is the licence that the entire text is, ``licenses`` are those of
     any unit, sorted, and ``n_units`` counts the paragraphs and lines found.
     """
-    spark = docs.sparkSession
-    table = spark.createDataFrame(list(known), "license string, text string")
+    table = docs.sparkSession.createDataFrame(list(known), "license string, text string")
     table = table.select("license", F.sha2(_one_line(canonical(F.col("text"))), 256).alias("digest"))
     table = table.groupBy("digest").agg(F.min("license").alias("license"))
     own = docs.select(

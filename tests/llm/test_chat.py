@@ -1,4 +1,7 @@
-from kvspark.llm.chat import link_quotes
+import random
+import re
+
+from kvspark.llm.chat import LEAST_CHARS, link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, row int, hash int, depth int"
 
@@ -56,7 +59,7 @@ def test_awkward_messages(spark):
     rows = [
         (1, 0, "u", None), (1, 1, None, ""), (1, 2, "u", ">"), (1, 3, "u", "> > >"), (None, 4, "u", "some words of a message"),
         (None, 5, "u", "> some words of a message"), (1, None, "u", "> some words of a message"), (1, 6, "u", "a > b and x >> y"),
-        (1, 7, "u", "> " + "long words " * 5000), (1, 8, "u", "line\r\n> line\r\n"), (3, 0, "u", "twice said words"), (3, 0, "u", "twice said words"),
+        (1, 7, "u", "> " + "long words " * 5000), (1, 9, "u", "> " * 20000 + "deep"), (1, 8, "u", "line\r\n> line\r\n"), (3, 0, "u", "twice said words"), (3, 0, "u", "twice said words"),
         (3, 1, "u", "> twice said words\nyes"),
     ]
     frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA)
@@ -72,3 +75,71 @@ def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, 0, "u", "> a", 1, 2, 3)], SCHEMA)
     plan = link_quotes(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute(rows):
+    """(text, n_quotes, n_linked, parent, thread) of every message, one at a time."""
+
+    def units(parts):
+        norm = [re.sub(r"[\W_]+", "", p.lower()) for p in parts]
+        return {n for n in norm if len(n) >= LEAST_CHARS}
+
+    parsed, said = [], {}
+    for conv, turn, _, text in rows:
+        lines = []
+        for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            marks = re.match(r"[ \t]*>[> \t]*", line)
+            lines.append((marks.group().count(">") if marks else 0, line[marks.end() :] if marks else line))
+        runs = []
+        for depth, line in lines:
+            joins = runs and runs[-1][0] == depth and line.strip(" ") and runs[-1][1].strip(" ")
+            if joins:
+                runs[-1][1] += "\n" + line
+            else:
+                runs.append([depth, line])
+        runs = [r for r in runs if r[1].strip(" ")]
+        own = [line for depth, line in lines if depth == 0]
+        body = re.sub(r"\n[ \t]*(\n[ \t]*)+", "\n\n", "\n".join(own)).strip()
+        quotes = [(d, units([t, *t.split("\n")])) for d, t in runs if d]
+        parsed.append((conv, turn, body, quotes))
+        for u in units(["\n".join(own), *(t for d, t in runs if d == 0), *own]):
+            said[conv, u] = min(turn, said.get((conv, u), turn))
+    parent, out = {}, []
+    for conv, turn, body, quotes in parsed:
+        found = [(d, said[conv, u], k) for k, (d, us) in enumerate(quotes) for u in us if said.get((conv, u), turn) < turn]
+        up = max(((-d, t) for d, t, _ in found), default=(0, None))[1]
+        out.append([conv, turn, body, len(quotes), len({k for _, _, k in found}), up])
+        if up is not None:
+            parent[conv, turn] = min(up, parent.get((conv, turn), up))
+    for row in out:
+        top = row[1]
+        while (row[0], top) in parent:
+            top = parent[row[0], top]
+        row.append(top)
+    return sorted(map(tuple, out))
+
+
+def test_random_conversations_follow_brute_force(spark):
+    rng = random.Random(0)
+    rows = []
+    for conv in range(25):
+        bodies = []
+        for turn in range(rng.randrange(1, 14)):
+            parts = []
+            for _ in range(rng.randrange(3)):
+                if bodies:
+                    quoted = rng.choice(bodies)
+                    if rng.random() < 0.5:
+                        quoted = rng.choice(quoted.split("\n"))
+                    mark = "> " * rng.randrange(1, 4)
+                    parts += [mark + (line.upper() if rng.random() < 0.2 else line) for line in quoted.split("\n")]
+            own = [" ".join(f"word{rng.randrange(60)}" for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4))]
+            bodies.append("\n".join(own))
+            parts += own if rng.random() < 0.8 else ["", *own, "", "tail of it"]
+            rows.append((conv, turn, "u", "\n".join(parts)))
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA)
+    got = sorted(
+        (r.conv_id, r.turn, r.text, r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn) for r in link_quotes(frame).collect()
+    )
+    assert [g[:3] for g in got] == [w[:3] for w in brute(rows)]
+    assert got == brute(rows)
