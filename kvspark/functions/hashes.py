@@ -39,6 +39,11 @@ def _fold(x: Column, bits: int) -> Column:
     return signed32(x).bitwiseXOR(F.shiftright(unsigned32(x), bits))
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def hash_int(key: Column, seed: int = 0) -> Column:
     """Hash of keys of up to 32 bits, in [0, 2**31)."""
     x = signed32(key).bitwiseXOR(F.lit(_s32(seed)).cast("long")) + F.lit(_s32(seed << 13)).cast("long")
@@ -81,9 +86,9 @@ def _bytes(text: Column) -> Column:
 def hash_chars(text: Column, seed: int = 0) -> Column:
     """Multiply-by-31 over bytes with a final mix; for composite ids."""
     x = F.aggregate(_bytes(text), F.lit(seed & M32).cast("long"), lambda h, b: unsigned32(h * 31 + b))
-    x = _double_product(_fold(x, 16), 0x85EBCA6B)
-    x = _double_product(_fold(x, 13), 0xC2B2AE35)
-    return unsigned32(_fold(x, 16))
+    x = _let(x, lambda h: _double_product(_fold(h, 16), 0x85EBCA6B))
+    x = _let(x, lambda h: _double_product(_fold(h, 13), 0xC2B2AE35))
+    return _let(x, lambda h: unsigned32(_fold(h, 16)))
 
 
 def hash_fnv1a(text: Column, seed: int = 0) -> Column:
@@ -116,22 +121,30 @@ def _xor_shift(a: Column, bits: int) -> Column:
 
 def murmur3(text: Column, seed: int = 0) -> Column:
     """Canonical 32-bit x86 MurmurHash3 of the UTF-8 bytes."""
-    data = _bytes(text)
-    n = F.size(data)
-    word = lambda b, i, k: F.shiftleft(F.coalesce(F.get(b, i + k), F.lit(0)).cast("long"), 8 * k)
 
     def block(b: Column, i: Column) -> Column:
-        k = word(b, i, 0).bitwiseOR(word(b, i, 1)).bitwiseOR(word(b, i, 2)).bitwiseOR(word(b, i, 3))
-        return _times(_rotated(_times(k, 0xCC9E2D51), 15), 0x1B873593)
-
-    def step(h: Column, i: Column) -> Column:
-        mixed = h.bitwiseXOR(block(data, i))
-        return F.when(i + 4 <= n, unsigned32(_times(_rotated(mixed, 13), 5) + F.lit(0x6B64E654))).otherwise(mixed)
-
-    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1, F.lit(4)))
-    h = F.aggregate(starts, F.lit(seed & M32).cast("long"), step).bitwiseXOR(n.cast("long"))
-    h = _times(_xor_shift(h, 16), 0x85EBCA6B)
-    return _xor_shift(_times(_xor_shift(h, 13), 0xC2B2AE35), 16)
+        k = F.coalesce(F.get(b, i), F.lit(0))
+        for j in (1, 2, 3):
+            k = k.bitwiseOR(F.shiftleft(F.coalesce(F.get(b, i + j), F.lit(0)), 8 * j))
+        k = _let(k, lambda x: _times(x, 0xCC9E2D51))
+        k = _let(k, lambda x: _rotated(x, 15))
+        return _let(k, lambda x: _times(x, 0x1B873593))
+
+    def whole(data: Column) -> Column:
+        n = F.size(data)
+
+        def step(h: Column, i: Column) -> Column:
+            mixed = h.bitwiseXOR(block(data, i))
+            turned = _let(_let(mixed, lambda x: _rotated(x, 13)), lambda x: _times(x, 5))
+            return F.when(i + 4 <= n, unsigned32(turned + F.lit(0x6B64E654))).otherwise(mixed)
+
+        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1, F.lit(4)))
+        h = F.aggregate(starts, F.lit(seed & M32).cast("long"), step).bitwiseXOR(n.cast("long"))
+        h = _let(_let(h, lambda x: _xor_shift(x, 16)), lambda x: _times(x, 0x85EBCA6B))
+        h = _let(_let(h, lambda x: _xor_shift(x, 13)), lambda x: _times(x, 0xC2B2AE35))
+        return _let(h, lambda x: _xor_shift(x, 16))
+
+    return _let(_bytes(text), whole)
 
 
 CHECKSUM_SEED = 0xCAFEBABE

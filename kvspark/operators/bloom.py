@@ -74,9 +74,12 @@ def unset_bits(filters: DataFrame, bits: list[int]) -> DataFrame:
 
 def packed(filters: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., word, mask): 63 bits to a long, for storage and bitwise merging."""
-    word = F.floor(F.col("bit") / 63).cast("long").alias("word")
-    mask = F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("bit") % 63).cast("int"))).alias("mask")
-    return filters.groupBy(*(by or []), word).agg(mask)
+    at = filters.select(
+        *(by or []),
+        F.floor(F.col("bit") / 63).cast("long").alias("word"),
+        F.expr("shiftleft(1L, CAST(bit % 63 AS INT))").alias("mask"),
+    )
+    return at.groupBy(*(by or []), "word").agg(F.bit_or("mask").alias("mask"))
 
 
 def unpacked(words: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -431,8 +431,8 @@ def bloom_pack_roundtrip(spark, sf_dir):
 
 
 @register(f"""WITH {_EV}, {_RUNS}, keys AS (SELECT DISTINCT key FROM runs),
-at AS ({_positions('u32', 'keys')}), bits AS (SELECT DISTINCT r.run_id, at.bit FROM runs r JOIN at ON r.key = at.key),
-q AS (SELECT DISTINCT c_custkey AS key FROM customer), qa AS (SELECT DISTINCT key, bit FROM ({_positions('u32', 'q')})),
+places AS ({_positions('u32', 'keys')}), bits AS (SELECT DISTINCT r.run_id, p.bit FROM runs r JOIN places p ON r.key = p.key),
+q AS (SELECT DISTINCT c_custkey AS key FROM customer), qa AS (SELECT DISTINCT key, bit FROM ({_positions('u32', 'q')}) AS x),
 need AS (SELECT key, count(*) AS n FROM qa GROUP BY key)
 SELECT qa.key, bits.run_id FROM qa JOIN bits ON qa.bit = bits.bit JOIN need ON need.key = qa.key
 GROUP BY qa.key, bits.run_id, need.n HAVING count(*) = need.n""")

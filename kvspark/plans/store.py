@@ -192,13 +192,16 @@ class Column:
             )
         )
 
+    def _literal(self, key):
+        return F.lit(self._typed((key, None))[0]).cast(self.schema["key"].dataType)
+
     def get(self, key) -> Row | None:
         """The newest live version; the key reaches the scan of the log before the fold."""
-        return lookup.get(oplog.live(self.log().filter(F.col("key") == F.lit(key))), key).first()
+        return oplog.live(self.log().filter(F.col("key") == self._literal(key))).first()
 
     def get_versioned(self, key) -> Row | None:
         """The newest version, tombstone or not."""
-        return oplog.fold(self.log().filter(F.col("key") == F.lit(key))).first()
+        return oplog.fold(self.log().filter(F.col("key") == self._literal(key))).first()
 
     def has(self, key) -> bool:
         return self.get(key) is not None
