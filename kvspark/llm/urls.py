@@ -8,8 +8,9 @@ judged by the difference of the models' log-likelihoods per symbol, against the
 threshold that separates allowed from blocked URLs best, each class weighing half.
 
 Counts and the calibration cover all URLs. The alphabet bounds the model:
-``len(ALPHABET) ** 3`` numbers whatever the input, held as a constant of the
-scoring projection, so judging is one pass without shuffle.
+``len(ALPHABET) ** 3`` rows whatever the input, so it is broadcast to the URLs'
+symbols. Sums per URL are complete before the shuffle, which then holds one small
+row per URL.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no
 rule, and is scored by what text it has (null: none). Without both allowed and
@@ -100,36 +101,31 @@ def model(counts: DataFrame) -> DataFrame:
     return full.select("allow", "gram", F.log(p2).alias("logp"))
 
 
-def _constant(values: Sequence[float]) -> Column:
-    """An array of doubles as one literal."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def ratio(labelled: DataFrame) -> list[float] | None:
-    """Log-likelihood differences by gram, from ``labelled`` (url, allow); None without both classes."""
-    grams = labelled.select("allow", F.explode(_grams(symbols(F.col("url")))).alias("gram"))
+def ratio(labelled: DataFrame) -> DataFrame | None:
+    """(gram, d): log-likelihood differences, from ``labelled`` (allow, grams); None without both classes."""
+    grams = labelled.select("allow", F.explode("grams").alias("gram"))
     counts = written(grams.groupBy("allow", "gram").agg(F.count(F.lit(1)).alias("n")), "grams")
     if counts.select("allow").distinct().count() < 2:
         return None
-    each = model(counts)
     sign = F.when(F.col("allow"), F.col("logp")).otherwise(-F.col("logp"))
-    by_gram = each.groupBy("gram").agg(F.sum(sign).alias("d")).orderBy("gram")
-    return [r["d"] for r in by_gram.collect()]
+    return written(model(counts).groupBy("gram").agg(F.sum(sign).alias("d")), "ratio")
+
 
+def scored(urls: DataFrame, differences: DataFrame) -> DataFrame:
+    """``urls`` (with ``grams``, which goes) with ``score``: above 0, more like allowed URLs.
 
-def score(url: Column, differences: Sequence[float]) -> Column:
-    """Mean difference of log-likelihoods a symbol: above 0, more like allowed URLs."""
-    grams = _grams(symbols(url))
-    table = _constant(differences)
-    total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(table, g))
-    return total / F.greatest(F.size(grams), F.lit(1))
+    The score is the mean difference of log-likelihoods a symbol; every URL has its end symbol at least.
+    """
+    others = [c for c in urls.columns if c != "grams"]
+    each = urls.select(*others, F.explode("grams").alias("gram")).join(F.broadcast(differences), "gram")
+    return each.groupBy(*others).agg(F.avg("d").alias("score"))
 
 
-def threshold(scored: DataFrame) -> float:
-    """The score that separates ``scored`` (score, allow) best, classes weighing alike; the smallest of equals."""
+def threshold(examples: DataFrame) -> float:
+    """The score that separates ``examples`` (score, allow) best, classes weighing alike; the smallest of equals."""
     bins = int(2 * SPAN / STEP)
     at = F.least(F.greatest(F.floor((F.col("score") + SPAN) / STEP), F.lit(0)), F.lit(bins)).cast("int")
-    held = scored.groupBy(at.alias("bin")).agg(
+    held = examples.groupBy(at.alias("bin")).agg(
         F.sum(F.col("allow").cast("double")).alias("good"), F.sum((~F.col("allow")).cast("double")).alias("bad")
     )
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,16 +144,16 @@ def judge(
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): one row per row of ``pages``; score is null without a model."""
     host, path = split_url(F.col("url"))
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
-    own = own.withColumn("host", host).withColumn("path", path)
+    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).alias("page_id"), F.col(url).alias("url"))
+    own = own.withColumn("host", host).withColumn("path", path).withColumn("grams", _grams(symbols(F.col("url")))).drop("url")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    own = own.withColumn("rule", rule).withColumn("says", says)
-    labelled = own.filter("says IS NOT NULL").select("url", (F.col("says") == "allow").alias("allow"))
-    differences = ratio(labelled)
+    own = written(own.withColumn("rule", rule).withColumn("says", says), "urls")
+    allow = (F.col("says") == "allow").alias("allow")
+    differences = ratio(own.filter("says IS NOT NULL").select(allow, "grams"))
     if differences is None:
-        scored, by_model = own.withColumn("score", F.lit(None).cast("double")), F.lit("allow")
+        judged, by_model = own.withColumn("score", F.lit(None).cast("double")), F.lit("allow")
     else:
-        cut = threshold(labelled.select("allow", score(F.col("url"), differences).alias("score")))
-        scored = own.withColumn("score", score(F.col("url"), differences))
+        judged = written(scored(own, differences), "scored")
+        cut = threshold(judged.filter("says IS NOT NULL").select("score", allow))
         by_model = F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("says", by_model).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("says", by_model).alias("verdict"), "score")

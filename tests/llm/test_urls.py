@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from kvspark.llm.urls import ALPHABET, SEEN, SIZE, judge, ratio, score
+from kvspark.llm.urls import ALPHABET, SEEN, SIZE, _grams, judge, ratio, scored, symbols
 
 SCHEMA = "page_id long, url string, html string, host int, path int, rule int, says int, score int"
 
@@ -101,11 +101,12 @@ def test_scores_are_those_of_a_plain_model(spark):
 
         logs.append(p)
     labelled = spark.createDataFrame([(u, i % 2 == 1) for i, u in enumerate(urls)], "url string, allow boolean")
-    table = ratio(labelled)
+    table = ratio(labelled.select("allow", _grams(symbols(F.col("url"))).alias("grams")))
     for u in [*urls[:4], "http://else.where/Über?x", ""]:
         c = _codes(u)
         want = sum(math.log(logs[0](*g) / logs[1](*g)) for g in zip(c, c[1:], c[2:], strict=False)) / (len(c) - 2)
-        got = spark.createDataFrame([(u,)], "url string").select(score(F.col("url"), table).alias("s")).first().s
+        one = spark.createDataFrame([(u,)], "url string").select("url", _grams(symbols(F.col("url"))).alias("grams"))
+        got = scored(one, table).first().score
         assert abs(got - want) < 1e-9, u
 
 
