@@ -65,10 +65,14 @@ def symbols(url: Column) -> Column:
 
 def _grams(codes: Column) -> Column:
     """Codes of (symbol before last, last symbol, symbol) of every symbol after the start."""
-    return F.transform(
-        F.slice(codes, F.lit(3), F.size(codes)),
-        lambda c, i: (F.get(codes, i) * SIZE + F.get(codes, i + 1)) * SIZE + c,
+    each = F.transform(
+        F.array(codes),  # bound once, not evaluated again for every symbol
+        lambda known: F.transform(
+            F.slice(known, F.lit(3), F.size(known)),
+            lambda c, i: (F.get(known, i) * SIZE + F.get(known, i + 1)) * SIZE + c,
+        ),
     )
+    return F.get(each, F.lit(0))
 
 
 def model(counts: DataFrame) -> DataFrame:
