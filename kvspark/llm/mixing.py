@@ -34,6 +34,8 @@ from kvspark.llm.tables import written
 WEIGHTS = (1, 2, 3)
 MOST = 3
 LEAF = 20_000
+#: A leaf has at least ROOM times the words of its source's largest document, or LARGEST times LEAF documents.
+ROOM, LARGEST = 8, 10
 FAN = 1_000
 SEED = 8
 _EPS = 1e-9
@@ -65,7 +67,9 @@ def numbered_sources(sources: DataFrame) -> DataFrame:
 
 def targets(documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) of every source of ``documents`` (source, size)."""
-    sources = documents.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    sources = documents.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"), F.max("size").alias("biggest")
+    )
     sources = numbered_sources(written(sources, "source-sizes"))
     weight = F.array(*[F.lit(float(w)) for w in weights])
     sources = written(sources.withColumn("w", F.get(weight, (F.col("rank") % len(weights)).cast("int"))), "weighed")
@@ -88,7 +92,7 @@ def targets(documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
         if n == sums["n"]:
             break
     share = F.when(capped, cap).otherwise(F.least(cap, F.col("w") * F.lit(level)))
-    return sources.select("source", "source_size", "n_docs", share.cast("double").alias("target"))
+    return sources.select("source", "source_size", "n_docs", "biggest", share.cast("double").alias("target"))
 
 
 def _closed(p: float) -> bool:
@@ -172,7 +176,13 @@ def mix(
 ) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, copies, taken): one row per row of ``docs``."""
     own = written(sized(docs, doc_id, text, source, row), "sized")
-    share = written(targets(own, weights, most).withColumnRenamed("source", "its_source"), "targets")
+    share = targets(own, weights, most).withColumnRenamed("source", "its_source")
+    # Leaves hold several times their largest document, if need be by being larger, up to LARGEST times.
+    roomy = F.floor(F.col("source_size") / (F.lit(ROOM) * F.greatest("biggest", F.lit(1))))
+    buckets = F.greatest(
+        F.ceil(F.col("n_docs") / F.lit(LARGEST * leaf)), F.least(F.ceil(F.col("n_docs") / F.lit(leaf)), roomy)
+    )
+    share = written(share.withColumn("buckets", buckets.cast("long")), "targets")
     kind = dict(own.dtypes)["doc_id"]
     schema = _SCHEMA.format(kind)
     # A source's row is needed by all its documents: hot sources (a bounded number) are broadcast, others shuffled.
@@ -185,18 +195,17 @@ def mix(
     )
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    buckets = F.ceil(F.col("n_docs") / F.lit(leaf))
     all_docs = (
         all_docs.withColumn("whole", F.floor(times).cast("int"))
         .withColumn("part", F.when(F.col("size") > 0, times - F.floor(times)).otherwise(F.lit(0.0)))
         .withColumn("draw", F.shiftrightunsigned(mixed, 11).cast("double") / float(1 << 53))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), buckets))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), F.col("buckets")))
         .withColumn("open", F.lit(True))
     )
     fields = [f.split()[0] for f in schema.split(", ")]
     level = written(_level(all_docs.select(*fields), schema), "rounded-0")
     settled = [level.filter("NOT open")]
-    n = -(-int(share.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]) // leaf)
+    n = int(share.agg(F.coalesce(F.max("buckets"), F.lit(0))).first()[0])
     depth = 0
     while n > 1:
         depth += 1
