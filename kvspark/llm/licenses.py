@@ -148,12 +148,13 @@ def _one_line(text: Column) -> Column:
 def scan(
     docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, whole, licenses, n_units): one row per row of ``docs``.
+    """(doc_id, whole, licenses, n_units): one row per row of ``docs``; ``known`` are (licence, text) pairs.
 
     ``whole`` is the licence that the entire text is, ``licenses`` are those of
     any unit, sorted, and ``n_units`` counts the paragraphs and lines found.
     """
-    table = docs.sparkSession.createDataFrame(list(known), "license string, text string")
+    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known])
+    table = docs.sparkSession.range(1).select(F.inline(rows))
     table = table.select("license", F.sha2(_one_line(canonical(F.col("text"))), 256).alias("digest"))
     table = table.groupBy("digest").agg(F.min("license").alias("license"))
     own = docs.select(
