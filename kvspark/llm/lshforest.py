@@ -43,7 +43,7 @@ BITS = 128
 SIMILARITY = 0.8
 RECALL = 0.99
 #: Texts in a node on average, and at most before the trie goes deeper.
-LEAF, DENSE = 512, 4096
+LEAF, DENSE = 512, 16_384
 #: Rows of one trie partition.
 RANGE = 300_000
 #: Shingles verified in one task at once, about.
@@ -128,8 +128,9 @@ def _in_tries(nodes: DataFrame, tries: int) -> DataFrame:
     )
 
 
-def near(s: np.ndarray, label: np.ndarray, most: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near(s: np.ndarray, label: np.ndarray, most: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, with at most ``most`` differing bits and different labels, block by block."""
+    block = block or max(16, (1 << 21) // max(len(s), 1))
     for a in range(0, len(s), block):
         rows = s[a : a + block]
         rest = s[a:]
