@@ -5,18 +5,21 @@ of the forest orders all SimHashes by 64 of their bits in a random order, so a
 node of the trie is a run of the sorted order with a common prefix. Depth follows
 density: the forest starts at the depth where a node holds ``LEAF`` texts on
 average, has as many tries as that prefix length needs for the target recall at
-the similarity asked for (shorter prefixes, fewer tries), and goes deeper only
-where a node holds more than ``DENSE`` texts, keeping a link of every text to the
-first of each node passed on the way. Texts of a node whose SimHashes are near
-enough are candidates, and the shingle sets themselves decide.
+the similarity asked for (shorter prefixes, fewer tries). Texts of a node whose
+SimHashes are near enough are candidates, and the shingle sets themselves decide.
 
 Candidates are taken in two passes, so that a group of near copies costs its size
 and not its square: first every text is paired with one candidate before and one
 after it and verified pairs are joined to classes; then all candidates in
 different classes are verified. The result is the one of verifying all.
 
-The order is range-partitioned on (trie, bits, text), so a dense region spreads
-over tasks. Equal texts are one node from the start, and text moves only to verify.
+The first pass is a shortcut: it is range-partitioned on (trie, bits, text), goes
+deeper where a node holds more than ``DENSE`` texts, and pairs the texts of each
+node passed on the way with the one nearest to the majority of their bits, the
+likely origin of a family. What it may have missed stays open. The second pass
+compares whole nodes: a node of more than ``DENSE`` texts is cut to blocks, and
+every two blocks meet in a task, but texts of one class aren't compared again.
+Equal texts are one node from the start, and text moves only to verify.
 
 Defined results: a text without words (or null) is a class of its own; with fewer
 than five words, its word list is its one shingle. ``class_id`` is the smallest
@@ -107,27 +110,103 @@ def _orders(tries: int) -> np.ndarray:
     return np.array([rng.permutation(BITS)[:64] for _ in range(tries)])
 
 
+def _spread(batches: Iterator[pa.RecordBatch], orders: np.ndarray) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """(trie, its 64 bits of every row, rows) of batches (node, s1, s2, label)."""
+    for batch in batches:
+        s = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)])
+        bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 16), axis=1)
+        for t, order in enumerate(orders):
+            key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
+            yield t, key, batch
+
+
+def _prefix(bits: np.ndarray, depth: int) -> np.ndarray:
+    return bits >> np.uint64(64 - depth) if depth else np.zeros(len(bits), np.uint64)
+
+
 def _in_tries(nodes: DataFrame, tries: int) -> DataFrame:
     """Every node once per trie, with the trie's 64 bits as an ordered long."""
     orders = _orders(tries)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)])
-            bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 16), axis=1)
-            for t, order in enumerate(orders):
-                key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
-                key = (key ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), t, np.int32)), pa.array(key), *batch.columns],
-                    names=["trie", "bits", "node", "s1", "s2", "label"],
-                )
+        for t, key, rows in _spread(batches, orders):
+            key = (key ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(key), t, np.int32)), pa.array(key), *rows.columns],
+                names=["trie", "bits", "node", "s1", "s2", "label"],
+            )
 
     return nodes.select("node", "s1", "s2", "label").mapInArrow(
         spread, "trie int, bits long, node long, s1 long, s2 long, label long"
     )
 
 
+def _dense_nodes(nodes: DataFrame, depth: int, tries: int, dense: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per trie, the sorted prefixes of all its nodes of more than ``dense`` rows, and how many blocks they are cut to.
+
+    A node above ``dense`` has more than its part of ``dense`` in some partition, so only such counts are sent.
+    """
+    orders = _orders(tries)
+    least = dense // max(1, nodes.rdd.getNumPartitions())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((len(orders), 1 << depth), np.int32)
+        for t, key, _ in _spread(batches, orders):
+            prefixes, n = np.unique(_prefix(key, depth).astype(np.int64), return_counts=True)
+            tables[t, prefixes] += n.astype(np.int32)
+        t, prefix = np.nonzero(tables > least)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(t), pa.array(prefix), pa.array(tables[t, prefix].astype(np.int64))], names=["trie", "prefix", "n"]
+        )
+
+    counted = nodes.select("node", "s1", "s2", "label").mapInArrow(count, "trie long, prefix long, n long")
+    # What isn't sent of a node is ``dense`` at most; with it, those that can't be above are left out.
+    found = counted.groupBy("trie", "prefix").agg(F.sum("n").alias("n")).orderBy("trie", "prefix").collect()
+    out = {}
+    for t in {r.trie for r in found}:
+        own = [r for r in found if r.trie == t]
+        out[t] = np.array([r.prefix for r in own], np.uint64), np.array([math.ceil((r.n + dense) / dense) for r in own])
+    return out
+
+
+def _in_blocks(nodes: DataFrame, depth: int, tries: int, dense: int) -> DataFrame:
+    """Every node of the forest in each trie under its prefix; one of a dense prefix once for every pair of blocks it is part of.
+
+    ``side`` is 0 where all rows of a (trie, prefix, pair) are to be compared, otherwise 1 or 2: with the other side only.
+    """
+    orders, big = _orders(tries), _dense_nodes(nodes, depth, tries, dense)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, key, rows in _spread(batches, orders):
+            prefix = _prefix(key, depth)
+            which = np.arange(len(key))
+            pair, side = np.zeros(len(key), np.int64), np.zeros(len(key), np.int8)
+            if t in big:
+                dense_prefixes, n_blocks = big[t]
+                at = np.minimum(np.searchsorted(dense_prefixes, prefix), len(dense_prefixes) - 1)
+                k = np.where(dense_prefixes[at] == prefix, n_blocks[at], 1)
+                which = np.repeat(which, k)
+                other = np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
+                k = k[which]
+                node = rows.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+                mine = (mix(node)[which] % k.astype(np.uint64)).astype(np.int64)
+                pair = np.minimum(mine, other) * k + np.maximum(mine, other)
+                side = np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.int8)
+            for c in range(0, len(which), 65536):
+                part = which[c : c + 65536]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(part), t, np.int32)), pa.array(prefix[part].view(np.int64)),
+                        pa.array(pair[c : c + 65536]), pa.array(side[c : c + 65536]), *rows.take(pa.array(part)).columns,
+                    ],
+                    names=["trie", "prefix", "pair", "side", "node", "s1", "s2", "label"],
+                )
+
+    return nodes.select("node", "s1", "s2", "label").mapInArrow(
+        spread, "trie int, prefix long, pair long, side byte, node long, s1 long, s2 long, label long"
+    )
+
+
 def near(s: np.ndarray, label: np.ndarray, most: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, with at most ``most`` differing bits and different labels, block by block."""
     block = block or max(16, (1 << 21) // max(len(s), 1))
@@ -158,11 +237,34 @@ def _splits(bits: np.ndarray, a: int, b: int, depth: int, dense: int, leads: lis
             todo.append((cut, b, depth + 1))
 
 
+def compared(s: np.ndarray, label: np.ndarray, side: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of different labels with at most ``most`` differing bits: of all rows of side 0, of side 1 with side 2."""
+    by_label = np.argsort(label, kind="stable")
+    for left, right in ((0, 0), (1, 2)):
+        rows, cols = by_label[side[by_label] == left], by_label[side[by_label] == right]
+        step = max(16, (1 << 21) // max(len(cols), 1))
+        for a in range(0, len(rows), step):
+            mine, rest = rows[a : a + step], cols[a:] if left == right else cols
+            if label[mine[0]] == label[mine[-1]]:
+                rest = rest[label[rest] != label[mine[0]]]
+            if not len(rest):
+                continue
+            apart = np.bitwise_count(s[mine, None, 0] ^ s[None, rest, 0]) + np.bitwise_count(s[mine, None, 1] ^ s[None, rest, 1])
+            i, j = np.nonzero(apart <= most)
+            i, j = mine[i], rest[j]
+            keep = label[i] != label[j]
+            yield i[keep], j[keep]
+
+
 def candidates(nodes: DataFrame, depth: int, tries: int, most: int, every: bool, dense: int = DENSE) -> DataFrame:
     """Distinct (a, b), a < b: candidate pairs of ``nodes`` (node, s1, s2, label) with different labels.
 
-    Not ``every``: of each node, the first candidate below it and the first above it within each trie node.
+    Not ``every``: of each node, the first candidate below it and the first above it, as far as one task sees them,
+    and (a, a) of each node that may have others.
     """
+    n = max(1, math.ceil(nodes.count() * tries / RANGE))
+    if every:
+        return _all_candidates(nodes, depth, tries, most, dense, n)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -172,23 +274,26 @@ def candidates(nodes: DataFrame, depth: int, tries: int, most: int, every: bool,
         trie, key, node, s1, s2, label = (c.to_numpy() for c in table.columns)
         bits = key.view(np.uint64) ^ np.uint64(1 << 63)
         s = np.column_stack((s1, s2)).view(np.uint64)
-        prefix = bits >> np.uint64(64 - depth) if depth else np.zeros(len(bits), np.uint64)
+        prefix = _prefix(bits, depth)
         edge = np.flatnonzero((trie[1:] != trie[:-1]) | (prefix[1:] != prefix[:-1])) + 1
         bounds = np.concatenate(([0], edge, [len(bits)]))
         found: list[np.ndarray] = []
+        unsure: list[np.ndarray] = []
         size = 0
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             leads: list[tuple[int, int]] = []
+            # The rest of a node at a range's border is in another task, and a dense one is split.
+            if a == 0 or b == len(bits) or b - a > dense:
+                unsure.append(node[a:b])
             for c, d in _splits(bits, int(a), int(b), depth, dense, leads):
                 if d - c < 2:
                     continue
+                if d - c > dense:
+                    leads.append((c, d))
+                    continue
                 order = np.argsort(node[c:d], kind="stable") + c
                 low, high = np.full(d - c, -1), np.full(d - c, -1)
                 for i, j in near(s[order], label[order], most):
-                    if every:
-                        found.append(np.column_stack((node[order[i]], node[order[j]])))
-                        size += len(i)
-                        continue
                     fresh = low[j] < 0
                     js, at = np.unique(j[fresh], return_index=True)
                     low[js] = i[fresh][at]
@@ -201,21 +306,60 @@ def candidates(nodes: DataFrame, depth: int, tries: int, most: int, every: bool,
                         found.append(np.column_stack((node[order[k]], node[order[ends[k]]])))
                         size += len(k)
             for c, d in leads:
-                apart = np.bitwise_count(s[c:d] ^ s[c]).sum(axis=1)
-                k = np.flatnonzero((apart <= most) & (label[c:d] != label[c])) + c
-                found.append(np.column_stack((node[k], np.full(len(k), node[c]))))
+                lead = c + _central(s[c:d])
+                apart = np.bitwise_count(s[c:d] ^ s[lead]).sum(axis=1)
+                k = np.flatnonzero((apart <= most) & (label[c:d] != label[lead])) + c
+                found.append(np.column_stack((node[k], np.full(len(k), node[lead]))))
                 size += len(k)
             if size > 200_000:
                 yield _pairs_batch(found)
                 found, size = [], 0
         if size:
             yield _pairs_batch(found)
+        alone = np.unique(np.concatenate(unsure))
+        yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(alone)], names=["a", "b"])
 
-    n = max(1, math.ceil(nodes.count() * tries / RANGE))
     ordered = _in_tries(nodes, tries).repartitionByRange(n, "trie", "bits", "node").sortWithinPartitions("trie", "bits")
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
+def _central(s: np.ndarray) -> int:
+    """The row nearest to the majority of all rows' bits."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(s), 65536):
+        ones += np.unpackbits(np.ascontiguousarray(s[at : at + 65536]).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    middle = np.packbits(2 * ones > len(s)).view(np.uint64)
+    return int(np.bitwise_count(s ^ middle).sum(axis=1).argmin())
+
+
+def _all_candidates(nodes: DataFrame, depth: int, tries: int, most: int, dense: int, n: int) -> DataFrame:
+    """Every candidate pair of each whole node."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        trie, prefix, pair, side, node, s1, s2, label = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
+        s = np.column_stack((s1, s2)).view(np.uint64)
+        new = (trie[1:] != trie[:-1]) | (prefix[1:] != prefix[:-1]) | (pair[1:] != pair[:-1])
+        bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(s)]))
+        found: list[np.ndarray] = []
+        size = 0
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for i, j in compared(s[a:b], label[a:b], side[a:b], most):
+                found.append(np.column_stack((node[a + i], node[a + j])))
+                size += len(i)
+                if size > 200_000:
+                    yield _pairs_batch(found)
+                    found, size = [], 0
+        if size:
+            yield _pairs_batch(found)
+
+    keys = ("trie", "prefix", "pair")
+    placed = _in_blocks(nodes, depth, tries, dense).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return placed.mapInArrow(pairs, "a long, b long").distinct()
+
+
 def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     ab = np.concatenate(found)
     ab.sort(axis=1)
@@ -275,12 +419,13 @@ def near_groups(
     depth, tries = forest_shape(nodes.count(), similarity, recall, leaf)
     most = most_bits(similarity)
 
-    first = written(candidates(nodes.withColumn("label", F.col("node")), depth, tries, most, False, dense), "first-pairs")
+    tried = written(candidates(nodes.withColumn("label", F.col("node")), depth, tries, most, False, dense), "first-pairs")
+    first = tried.filter("a <> b")
     seen = written(verify(first, nodes, docs, doc_id, text, similarity), "first-links")
     links = seen.filter("similar").select(F.col("b").alias("u"), F.col("a").alias("v"))
     classes = written(components(links), "first-classes")
-    # Only texts that have a candidate at all, and pairs that cross classes and are still open.
-    touched = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    # Only texts that have or may have a candidate at all, and pairs that cross classes and are still open.
+    touched = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     open_nodes = nodes.join(touched, "node", "left_semi").join(classes, "node", "left")
     open_nodes = written(open_nodes.withColumn("label", F.coalesce("root", "node")), "open-nodes")
     second = candidates(open_nodes, depth, tries, most, True, dense).join(first, ["a", "b"], "left_anti")

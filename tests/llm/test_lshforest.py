@@ -5,7 +5,7 @@ from helpers import AWKWARD, empty, table, words
 
 from kvspark.llm.graph import components
 from kvspark.llm.lshforest import (
-    agreement, drop_near_copies, forest_shape, near, near_groups, simhash,
+    agreement, candidates, drop_near_copies, forest_shape, near, near_groups, simhash,
 )
 from kvspark.llm.shingles import jaccard, shingle_sets
 
@@ -91,6 +91,36 @@ def test_dense_nodes_keep_a_family_together(spark):
     assert {r.class_id for r in rows} == {0} and len(rows) == 150
 
 
+def test_star_far_above_dense_keeps_its_leaves(spark):
+    """Leaves at 0.84 to the base and 0.7 to each other hang together by the base only."""
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(300)]
+    texts = []
+    for k in range(700):
+        copy = list(base)
+        for at in rng.sample(range(5, 295, 6), 5):
+            copy[at] = f"z{k}.{at}"
+        texts.append(" ".join(copy))
+    texts.insert(350, " ".join(base))
+    rows = near_groups(table(spark, texts), leaf=8, dense=16).collect()
+    sizes = [r.class_size for r in rows]
+    assert len(rows) == 701 and max(sizes) >= 0.95 * 701
+
+
+def test_blocks_of_a_dense_node_meet_once_each(spark):
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 2**63, (300, 2), dtype=np.int64)
+    s[100:] = s[0] ^ (np.int64(1) << rng.integers(0, 62, (200, 2)))
+    rows = [(i, int(a), int(b), i // 3) for i, (a, b) in enumerate(s)]
+    nodes = spark.createDataFrame(rows, "node long, s1 long, s2 long, label long")
+    got = sorted((r.a, r.b) for r in candidates(nodes, 0, 1, 10, True, dense=16).collect())
+    u = s.view(np.uint64)
+    want = [
+        (i, j) for i in range(300) for j in range(i + 1, 300) if i // 3 != j // 3 and np.bitwise_count(u[i] ^ u[j]).sum() <= 10
+    ]
+    assert got == want and len(want) > 19_000
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     text = " ".join(map(str, range(50)))
     rows = near_groups(table(spark, [text, text, None, "", None, text], ids=[5, 3, 1, 2, None, 3])).collect()
