@@ -4,8 +4,11 @@ Texts become sets of five-word shingles, sets become 128-bit SimHashes. Each tri
 of the forest orders all SimHashes by 64 of their bits in a random order, so a
 node of the trie is a run of the sorted order with a common prefix. Depth follows
 density: the forest starts at the depth where a node holds ``LEAF`` texts on
-average, has as many tries as that prefix length needs for the target recall at
-the similarity asked for (shorter prefixes, fewer tries). Texts of a node whose
+average, and has as many tries as that prefix length needs for the target recall at
+the similarity asked for (shorter prefixes, fewer tries). All tries draw on the same
+bits, so recall is taken over the distribution of the bits in which a pair differs.
+Sets of few shingles differ in more bits: short texts have further tries, and a
+larger number of bits up to which they are candidates. Texts of a node whose
 SimHashes are near enough are candidates, and the shingle sets themselves decide.
 
 Candidates are taken in two passes, so that a group of near copies costs its size
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,6 +56,8 @@ RANGE = 300_000
 #: Shingles verified in one task at once, about.
 BLOCK = 400_000
 SEED = 3
+#: Sets of at most so many shingles are short; SimHashes of sets above ``LIMIT`` differ as ``agreement`` says.
+SHORT, LIMIT = 8, 24
 
 
 def agreement(similarity: float) -> float:
@@ -59,18 +65,62 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def most_bits(similarity: float, bits: int = BITS, deviations: float = 3.5) -> int:
-    """Differing bits up to which two SimHashes are candidates."""
-    q = 1 - agreement(similarity)
-    return math.ceil(bits * q + deviations * math.sqrt(bits * q * (1 - q)))
-
-
-def forest_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF) -> tuple[int, int]:
-    """(depth, tries) for ``n`` texts."""
-    depth = max(0, math.floor(math.log2(max(n, 1) / leaf))) if n > leaf else 0
-    hit = agreement(similarity) ** depth
-    tries = 1 if hit > recall else math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    return min(depth, 60), tries
+def _differs(a: int, b: int, both: int) -> float:
+    """Chance that a SimHash bit of sets of ``a`` and ``b`` shingles differs, of which ``both`` are common."""
+    ones = lambda n: np.array([math.comb(n, k) / 2.0**n for k in range(n + 1)])
+    common = np.arange(both + 1)[:, None]
+    set_a = ((2 * (common + np.arange(a - both + 1)) > a) * ones(a - both)).sum(axis=1)
+    set_b = ((2 * (common + np.arange(b - both + 1)) > b) * ones(b - both)).sum(axis=1)
+    return float((ones(both) * (set_a * (1 - set_b) + set_b * (1 - set_a))).sum())
+
+
+@lru_cache
+def difference(similarity: float, short: bool = False) -> float:
+    """The highest chance that a SimHash bit differs, over all pairs of at least this similarity: of two short sets, or others."""
+    worst = 0.0 if short else 1 - agreement(similarity)
+    for b in range(1, (SHORT if short else LIMIT) + 1):
+        for a in range(1, b + 1):
+            if short or b > SHORT:
+                for both in range(max(1, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)), a + 1):
+                    worst = max(worst, _differs(a, b, both))
+    return worst
+
+
+def _chances(similarity: float, short: bool) -> np.ndarray:
+    """Chance of each number of differing bits, at the highest difference."""
+    q = difference(similarity, short)
+    return np.array([math.comb(BITS, k) * q**k * (1 - q) ** (BITS - k) for k in range(BITS + 1)])
+
+
+def most_bits(similarity: float, recall: float = RECALL, short: bool = False) -> int:
+    """Differing bits up to which two SimHashes are candidates: a tenth of the loss allowed is above."""
+    return int(np.searchsorted(np.cumsum(_chances(similarity, short)), 1 - (1 - recall) / 10))
+
+
+def forest_recall(depth: int, tries: int, similarity: float, most: int, short: bool = False) -> float:
+    """Chance that a pair shares a node of ``depth`` bits in some trie, over the distribution of its differing bits."""
+    bits = range(most + 1)
+    hit = np.array([math.comb(BITS - k, depth) / math.comb(BITS, depth) for k in bits])
+    return float((_chances(similarity, short)[: most + 1] * (1 - (1 - hit) ** tries)).sum())
+
+
+def forest_shape(
+    n: int, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, short: bool = False
+) -> tuple[int, int]:
+    """(depth, tries) for ``n`` texts; ``short`` texts need more tries."""
+    depth = min(60, max(0, math.floor(math.log2(max(n, 1) / leaf)))) if n > leaf else 0
+    most = most_bits(similarity, recall, short)
+    high = 1
+    while forest_recall(depth, high, similarity, most, short) < recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        if forest_recall(depth, middle, similarity, most, short) < recall:
+            low = middle
+        else:
+            high = middle
+    return depth, high
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
@@ -110,12 +160,19 @@ def _orders(tries: int) -> np.ndarray:
     return np.array([rng.permutation(BITS)[:64] for _ in range(tries)])
 
 
-def _spread(batches: Iterator[pa.RecordBatch], orders: np.ndarray) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
-    """(trie, its 64 bits of every row, rows) of batches (node, s1, s2, label)."""
+def _spread(
+    batches: Iterator[pa.RecordBatch], orders: np.ndarray, tries: int
+) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """(trie, its 64 bits of every row, rows) of batches (node, s1, s2, label, short); from ``tries`` on of short rows."""
     for batch in batches:
         s = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)])
         bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 16), axis=1)
         for t, order in enumerate(orders):
+            if t == tries:
+                few = batch.column(4).to_numpy(zero_copy_only=False)
+                batch, bits = batch.filter(batch.column(4)), bits[few]
+            if not batch.num_rows:
+                break
             key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
             yield t, key, batch
 
@@ -124,34 +181,34 @@ def _prefix(bits: np.ndarray, depth: int) -> np.ndarray:
     return bits >> np.uint64(64 - depth) if depth else np.zeros(len(bits), np.uint64)
 
 
-def _in_tries(nodes: DataFrame, tries: int) -> DataFrame:
+def _in_tries(nodes: DataFrame, tries: int, all_tries: int) -> DataFrame:
     """Every node once per trie, with the trie's 64 bits as an ordered long."""
-    orders = _orders(tries)
+    orders = _orders(all_tries)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, rows in _spread(batches, orders):
+        for t, key, rows in _spread(batches, orders, tries):
             key = (key ^ np.uint64(1 << 63)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(key), t, np.int32)), pa.array(key), *rows.columns],
-                names=["trie", "bits", "node", "s1", "s2", "label"],
+                names=["trie", "bits", "node", "s1", "s2", "label", "short"],
             )
 
-    return nodes.select("node", "s1", "s2", "label").mapInArrow(
-        spread, "trie int, bits long, node long, s1 long, s2 long, label long"
+    return nodes.select("node", "s1", "s2", "label", "short").mapInArrow(
+        spread, "trie int, bits long, node long, s1 long, s2 long, label long, short boolean"
     )
 
 
-def _dense_nodes(nodes: DataFrame, depth: int, tries: int, dense: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _dense_nodes(nodes: DataFrame, depth: int, tries: int, all_tries: int, dense: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Per trie, the sorted prefixes of all its nodes of more than ``dense`` rows, and how many blocks they are cut to.
 
     A node above ``dense`` has more than its part of ``dense`` in some partition, so only such counts are sent.
     """
-    orders = _orders(tries)
+    orders = _orders(all_tries)
     least = dense // max(1, nodes.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((len(orders), 1 << depth), np.int32)
-        for t, key, _ in _spread(batches, orders):
+        for t, key, _ in _spread(batches, orders, tries):
             prefixes, n = np.unique(_prefix(key, depth).astype(np.int64), return_counts=True)
             tables[t, prefixes] += n.astype(np.int32)
         t, prefix = np.nonzero(tables > least)
@@ -159,7 +216,7 @@ def _dense_nodes(nodes: DataFrame, depth: int, tries: int, dense: int) -> dict[i
             [pa.array(t), pa.array(prefix), pa.array(tables[t, prefix].astype(np.int64))], names=["trie", "prefix", "n"]
         )
 
-    counted = nodes.select("node", "s1", "s2", "label").mapInArrow(count, "trie long, prefix long, n long")
+    counted = nodes.select("node", "s1", "s2", "label", "short").mapInArrow(count, "trie long, prefix long, n long")
     # What isn't sent of a node is ``dense`` at most; with it, those that can't be above are left out.
     found = counted.groupBy("trie", "prefix").agg(F.sum("n").alias("n")).orderBy("trie", "prefix").collect()
     out = {}
@@ -169,15 +226,15 @@ def _dense_nodes(nodes: DataFrame, depth: int, tries: int, dense: int) -> dict[i
     return out
 
 
-def _in_blocks(nodes: DataFrame, depth: int, tries: int, dense: int) -> DataFrame:
+def _in_blocks(nodes: DataFrame, depth: int, tries: int, all_tries: int, dense: int) -> DataFrame:
     """Every node of the forest in each trie under its prefix; one of a dense prefix once for every pair of blocks it is part of.
 
     ``side`` is 0 where all rows of a (trie, prefix, pair) are to be compared, otherwise 1 or 2: with the other side only.
     """
-    orders, big = _orders(tries), _dense_nodes(nodes, depth, tries, dense)
+    orders, big = _orders(all_tries), _dense_nodes(nodes, depth, tries, all_tries, dense)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, rows in _spread(batches, orders):
+        for t, key, rows in _spread(batches, orders, tries):
             prefix = _prefix(key, depth)
             which = np.arange(len(key))
             pair, side = np.zeros(len(key), np.int64), np.zeros(len(key), np.int8)
@@ -199,23 +256,27 @@ def _in_blocks(nodes: DataFrame, depth: int, tries: int, dense: int) -> DataFram
                         pa.array(np.full(len(part), t, np.int32)), pa.array(prefix[part].view(np.int64)),
                         pa.array(pair[c : c + 65536]), pa.array(side[c : c + 65536]), *rows.take(pa.array(part)).columns,
                     ],
-                    names=["trie", "prefix", "pair", "side", "node", "s1", "s2", "label"],
+                    names=["trie", "prefix", "pair", "side", "node", "s1", "s2", "label", "short"],
                 )
 
-    return nodes.select("node", "s1", "s2", "label").mapInArrow(
-        spread, "trie int, prefix long, pair long, side byte, node long, s1 long, s2 long, label long"
+    return nodes.select("node", "s1", "s2", "label", "short").mapInArrow(
+        spread, "trie int, prefix long, pair long, side byte, node long, s1 long, s2 long, label long, short boolean"
     )
 
 
-def near(s: np.ndarray, label: np.ndarray, most: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, with at most ``most`` differing bits and different labels, block by block."""
+def near(
+    s: np.ndarray, label: np.ndarray, most: int, block: int | None = None, short: np.ndarray | None = None, most_short: int = 0
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, with at most ``most`` (two ``short``: ``most_short``) differing bits and different labels, block by block."""
     block = block or max(16, (1 << 21) // max(len(s), 1))
     for a in range(0, len(s), block):
         rows = s[a : a + block]
         rest = s[a:]
         apart = np.bitwise_count(rows[:, None, 0] ^ rest[None, :, 0]) + np.bitwise_count(rows[:, None, 1] ^ rest[None, :, 1])
-        i, j = np.nonzero(apart <= most)
+        i, j = np.nonzero(apart <= (most if short is None else max(most, most_short)))
         keep = i < j
+        if short is not None:
+            keep &= (apart[i, j] <= most) | (short[a + i] & short[a + j] & (apart[i, j] <= most_short))
         i, j = i[keep] + a, j[keep] + a
         keep = label[i] != label[j]
         yield i[keep], j[keep]
@@ -237,8 +298,10 @@ def _splits(bits: np.ndarray, a: int, b: int, depth: int, dense: int, leads: lis
             todo.append((cut, b, depth + 1))
 
 
-def compared(s: np.ndarray, label: np.ndarray, side: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of different labels with at most ``most`` differing bits: of all rows of side 0, of side 1 with side 2."""
+def compared(
+    s: np.ndarray, label: np.ndarray, side: np.ndarray, most: int, short: np.ndarray, most_short: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) like those of ``near``: of all rows of side 0, of side 1 with side 2."""
     by_label = np.argsort(label, kind="stable")
     for left, right in ((0, 0), (1, 2)):
         rows, cols = by_label[side[by_label] == left], by_label[side[by_label] == right]
@@ -250,28 +313,39 @@ def compared(s: np.ndarray, label: np.ndarray, side: np.ndarray, most: int) -> I
             if not len(rest):
                 continue
             apart = np.bitwise_count(s[mine, None, 0] ^ s[None, rest, 0]) + np.bitwise_count(s[mine, None, 1] ^ s[None, rest, 1])
-            i, j = np.nonzero(apart <= most)
+            i, j = np.nonzero(apart <= max(most, most_short))
+            apart = apart[i, j]
             i, j = mine[i], rest[j]
-            keep = label[i] != label[j]
+            keep = (label[i] != label[j]) & ((apart <= most) | (short[i] & short[j] & (apart <= most_short)))
             yield i[keep], j[keep]
 
 
-def candidates(nodes: DataFrame, depth: int, tries: int, most: int, every: bool, dense: int = DENSE) -> DataFrame:
-    """Distinct (a, b), a < b: candidate pairs of ``nodes`` (node, s1, s2, label) with different labels.
+def candidates(
+    nodes: DataFrame, depth: int, tries: int, most: int, every: bool, dense: int = DENSE,
+    tries_short: int = 0, most_short: int = 0,
+) -> DataFrame:
+    """Distinct (a, b), a < b: candidate pairs of ``nodes`` (node, s1, s2, label, perhaps short) with different labels.
+
+    Short nodes are in ``tries_short`` tries, and two of them are candidates up to ``most_short`` bits, where that is more.
 
     Not ``every``: of each node, the first candidate below it and the first above it, as far as one task sees them,
     and (a, a) of each node that may have others.
     """
-    n = max(1, math.ceil(nodes.count() * tries / RANGE))
+    all_tries = max(tries, tries_short)
+    if "short" not in nodes.columns:
+        nodes = nodes.withColumn("short", F.lit(False))
+    rows = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short")).first()
+    n = max(1, math.ceil((rows.n * tries + rows.short * (all_tries - tries)) / RANGE))
     if every:
-        return _all_candidates(nodes, depth, tries, most, dense, n)
+        placed = _in_blocks(nodes, depth, tries, all_tries, dense)
+        return _all_candidates(placed, most, most_short, n)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got)
-        trie, key, node, s1, s2, label = (c.to_numpy() for c in table.columns)
+        trie, key, node, s1, s2, label, short = (c.to_numpy() for c in table.columns)
         bits = key.view(np.uint64) ^ np.uint64(1 << 63)
         s = np.column_stack((s1, s2)).view(np.uint64)
         prefix = _prefix(bits, depth)
@@ -293,7 +367,7 @@ def candidates(nodes: DataFrame, depth: int, tries: int, most: int, every: bool,
                     continue
                 order = np.argsort(node[c:d], kind="stable") + c
                 low, high = np.full(d - c, -1), np.full(d - c, -1)
-                for i, j in near(s[order], label[order], most):
+                for i, j in near(s[order], label[order], most, None, short[order], most_short):
                     fresh = low[j] < 0
                     js, at = np.unique(j[fresh], return_index=True)
                     low[js] = i[fresh][at]
@@ -319,7 +393,7 @@ def candidates(nodes: DataFrame, depth: int, tries: int, most: int, every: bool,
         alone = np.unique(np.concatenate(unsure))
         yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(alone)], names=["a", "b"])
 
-    ordered = _in_tries(nodes, tries).repartitionByRange(n, "trie", "bits", "node").sortWithinPartitions("trie", "bits")
+    ordered = _in_tries(nodes, tries, all_tries).repartitionByRange(n, "trie", "bits", "node").sortWithinPartitions("trie", "bits")
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -332,21 +406,21 @@ def _central(s: np.ndarray) -> int:
     return int(np.bitwise_count(s ^ middle).sum(axis=1).argmin())
 
 
-def _all_candidates(nodes: DataFrame, depth: int, tries: int, most: int, dense: int, n: int) -> DataFrame:
+def _all_candidates(placed: DataFrame, most: int, most_short: int, n: int) -> DataFrame:
     """Every candidate pair of each whole node."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        trie, prefix, pair, side, node, s1, s2, label = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
+        trie, prefix, pair, side, node, s1, s2, label, short = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
         s = np.column_stack((s1, s2)).view(np.uint64)
         new = (trie[1:] != trie[:-1]) | (prefix[1:] != prefix[:-1]) | (pair[1:] != pair[:-1])
         bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(s)]))
         found: list[np.ndarray] = []
         size = 0
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            for i, j in compared(s[a:b], label[a:b], side[a:b], most):
+            for i, j in compared(s[a:b], label[a:b], side[a:b], most, short[a:b], most_short):
                 found.append(np.column_stack((node[a + i], node[a + j])))
                 size += len(i)
                 if size > 200_000:
@@ -356,8 +430,7 @@ def _all_candidates(nodes: DataFrame, depth: int, tries: int, most: int, dense:
             yield _pairs_batch(found)
 
     keys = ("trie", "prefix", "pair")
-    placed = _in_blocks(nodes, depth, tries, dense).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(pairs, "a long, b long").distinct()
+    return placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -415,11 +488,14 @@ def near_groups(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"),
         F.count(F.lit(1)).alias("n_docs"),
     )
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("short", F.col("n") <= SHORT)
+    nodes = written(nodes, "nodes")
     depth, tries = forest_shape(nodes.count(), similarity, recall, leaf)
-    most = most_bits(similarity)
+    most = most_bits(similarity, recall)
+    _, tries_short = forest_shape(nodes.count(), similarity, recall, leaf, short=True)
+    for_short = {"tries_short": tries_short, "most_short": most_bits(similarity, recall, short=True)}
 
-    tried = written(candidates(nodes.withColumn("label", F.col("node")), depth, tries, most, False, dense), "first-pairs")
+    tried = written(candidates(nodes.withColumn("label", F.col("node")), depth, tries, most, False, dense, **for_short), "first-pairs")
     first = tried.filter("a <> b")
     seen = written(verify(first, nodes, docs, doc_id, text, similarity), "first-links")
     links = seen.filter("similar").select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -428,7 +504,7 @@ def near_groups(
     touched = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     open_nodes = nodes.join(touched, "node", "left_semi").join(classes, "node", "left")
     open_nodes = written(open_nodes.withColumn("label", F.coalesce("root", "node")), "open-nodes")
-    second = candidates(open_nodes, depth, tries, most, True, dense).join(first, ["a", "b"], "left_anti")
+    second = candidates(open_nodes, depth, tries, most, True, dense, **for_short).join(first, ["a", "b"], "left_anti")
     second = written(second, "second-pairs")
     if not second.isEmpty():
         more = written(verify(second, nodes, docs, doc_id, text, similarity), "second-links").filter("similar")

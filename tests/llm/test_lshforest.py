@@ -5,7 +5,7 @@ from helpers import AWKWARD, empty, table, words
 
 from kvspark.llm.graph import components
 from kvspark.llm.lshforest import (
-    agreement, candidates, drop_near_copies, forest_shape, near, near_groups, simhash,
+    agreement, candidates, drop_near_copies, forest_shape, most_bits, near, near_groups, simhash,
 )
 from kvspark.llm.shingles import jaccard, shingle_sets
 
@@ -71,6 +71,28 @@ def test_forest_grows_deeper_with_more_tries():
     assert shapes[0] == (0, 1) and shapes == sorted(shapes)
 
 
+def _pairs_at(rng, n, both, extra_a, extra_b):
+    """SimHashes of n pairs of random sets with so many common and own shingles."""
+    for _ in range(n):
+        x = rng.integers(0, 2**63, both + extra_a + extra_b, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, both + extra_a + extra_b, dtype=np.uint64)
+        yield simhash(x[: both + extra_a]), simhash(np.concatenate((x[:both], x[both + extra_a :])))
+
+
+def test_recall_at_production_depth_is_met(spark):
+    """Pairs at exactly 0.8, of long and of the shortest texts, in the forest of ten million texts; brute force says all match."""
+    rng = np.random.default_rng(8)
+    depth, tries = forest_shape(10**7)
+    assert depth == 14
+    kinds = {"long": (1500, 480, 60, 60, False), "short": (1500, 4, 1, 0, True)}
+    more = {"tries_short": forest_shape(10**7, short=True)[1], "most_short": most_bits(0.8, short=True)}
+    for n, both, a, b, short in kinds.values():
+        s = np.array([x for pair in _pairs_at(rng, n, both, a, b) for x in pair]).view(np.int64)
+        rows = [(i, int(x), int(y), i, short) for i, (x, y) in enumerate(s)]
+        nodes = spark.createDataFrame(rows, "node long, s1 long, s2 long, label long, short boolean")
+        got = {(r.a, r.b) for r in candidates(nodes, depth, tries, most_bits(0.8), True, **more).collect()}
+        assert len(got & {(i, i + 1) for i in range(0, 2 * n, 2)}) >= 0.985 * n
+
+
 def test_classes_are_those_of_brute_force(spark):
     texts = corpus(random.Random(7)) + AWKWARD
     rows = near_groups(table(spark, texts), leaf=32, recall=0.999).collect()
