@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from kvspark.llm.tables import written
 
-#: Hashes of passages with fewer letters and digits say nothing about their origin.
-LEAST_CHARS = 8
+#: A passage without a letter or digit says nothing about its origin; every other one is looked up, however short.
+LEAST_CHARS = 1
 _MARKS = r"^[ \t]*>[> \t]*"
 
 
@@ -67,7 +67,7 @@ def normalised(text: Column) -> Column:
 
 
 def _hashes(units: Column) -> Column:
-    """Distinct SHA-256 hashes of the units that are long enough."""
+    """Distinct SHA-256 hashes of the units that have a letter or digit."""
     norm = F.filter(F.transform(units, normalised), lambda t: F.length(t) >= LEAST_CHARS)
     return F.array_distinct(F.transform(norm, lambda t: F.sha2(t, 256)))
 

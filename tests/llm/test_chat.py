@@ -46,6 +46,16 @@ def test_part_of_a_message_and_first_of_equals(spark):
     assert got[2, 1].parent_turn == 0 and got[2, 1].text == ""
 
 
+def test_short_passages_link_to_the_earliest_that_says_them(spark):
+    got = run(spark, [
+        (1, 0, "a", "Why?"), (1, 1, "b", "> why\nBecause."), (1, 2, "a", "Yes."), (1, 3, "b", "No.\nYes."),
+        (1, 4, "a", "> Yes.\nWhich of them?"), (1, 5, "a", "我不知道这事"), (1, 6, "b", "> 我不知道这事。\nok"),
+        (1, 7, "b", "> Nobody said it.\n> Why?\nok"), (1, 8, "b", "> Why?"), (1, 9, "b", "Why?"), (1, 10, "b", "> ?!"),
+    ])
+    assert {k[1]: r.parent_turn for k, r in got.items() if r.n_quotes} == {1: 0, 4: 2, 6: 5, 7: 0, 8: 0, 10: None}
+    assert [got[1, k].n_linked for k in (1, 4, 6, 7, 8, 10)] == [1, 1, 1, 1, 1, 0]
+
+
 def test_long_chain_of_replies(spark):
     rows = [(1, 0, "u", "message number zero begins")]
     for i in range(1, 40):
