@@ -5,9 +5,11 @@ in several ways, no copyright lines, and nothing but letters and digits between
 single spaces. An entire text, each of its paragraphs and each of its lines is
 then looked up by SHA-256 in a table of the digests of known licence texts and
 notices. A text with one more or fewer word than the known one is not found; that
-is what a digest means.
+is what a digest means. A known text below a README or above code
+is found by its paragraphs: all of them have to be there. What is part of another
+text that is found (BSD-2-Clause of BSD-3-Clause) isn't named.
 
-The table of digests is a constant of this module (``KNOWN``, or the caller's list),
+The table of digests is a constant of this module (``TABLE``, or the caller's list),
 so it is broadcast; the scan is one pass over the documents, and what is shuffled
 is one small row per document with a finding.
 
@@ -19,8 +21,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lines that begin with these words name a holder and not a licence; for (?im) with ``\n`` as the only line end.
@@ -131,6 +134,15 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Entire texts, as published: one file a licence.
+TEXTS: tuple[tuple[str, str], ...] = tuple(
+    (path.stem, path.read_text(encoding="utf-8")) for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+)
+TABLE = KNOWN + TEXTS
+#: Shorter paragraphs of a known text (headings, addresses) say nothing about a licence.
+LEAST_PARAGRAPH = 60
+
+
 def canonical(text: Column) -> Column:
     """Canonical text; lines stay apart, and so do paragraphs."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
@@ -141,22 +153,19 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(out, r" ?\n ?", "\n")
 
 
-def _one_line(text: Column) -> Column:
+def _one_line(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def scan(
-    docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, known: Sequence[tuple[str, str]] = TABLE, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, whole, licenses, n_units): one row per row of ``docs``; ``known`` are (licence, text) pairs.
 
     ``whole`` is the licence that the entire text is, ``licenses`` are those of
-    any unit, sorted, and ``n_units`` counts the paragraphs and lines found.
+    any unit or text inside, sorted, and ``n_units`` counts the paragraphs and lines found.
     """
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known])
-    table = docs.sparkSession.range(1).select(F.inline(rows))
-    table = table.select("license", F.sha2(_one_line(canonical(F.col("text"))), 256).alias("digest"))
-    table = table.groupBy("digest").agg(F.min("license").alias("license"))
+    table = F.broadcast(_digests(docs.sparkSession, known))
     own = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("t")
     )
@@ -175,13 +184,49 @@ def scan(
         ).alias("u"),
     ).select("row", "doc_id", "u.kind", "u.digest")
     # Every document has its whole text as a unit, so grouping by row returns every document, combined before the shuffle.
-    looked = units.join(F.broadcast(table), "digest", "left")
-    return (
-        looked.groupBy("row", "doc_id")
-        .agg(
-            F.max(F.when(F.col("kind") == "whole", F.col("license"))).alias("whole"),
-            F.sort_array(F.collect_set("license")).alias("licenses"),
-            F.count(F.when((F.col("kind") == "part") & F.col("license").isNotNull(), 1)).alias("n_units"),
-        )
-        .drop("row")
+    looked = units.join(table, "digest", "left")
+    part = F.col("kind") == "part"
+    got = looked.groupBy("row", "doc_id").agg(
+        F.max(F.when(F.col("kind") == "whole", F.col("license"))).alias("whole"),
+        F.collect_set("license").alias("licenses"),
+        F.count(F.when(part & F.col("license").isNotNull(), 1)).alias("n_units"),
+        F.collect_set(F.when(part & F.col("texts").isNotNull(), F.struct("digest", "texts"))).alias("parts"),
+    )
+    # A text is there if as many of its paragraphs are as it has, and is named unless it is part of another one there.
+    seen = F.flatten(F.transform("parts", lambda p: p["texts"]))
+    got = got.withColumn("seen", seen).withColumn(
+        "there", F.filter(F.array_distinct("seen"), lambda x: F.size(F.filter("seen", lambda y: y["k"] == x["k"])) == x["need"])
+    )
+    there = F.filter("there", lambda x: ~F.arrays_overlap(x["larger"], F.transform("there", lambda y: y["k"])))
+    return got.withColumn("there", there).select(
+        "doc_id",
+        "whole",
+        F.sort_array(F.array_union("licenses", F.transform("there", lambda x: x["license"]))).alias("licenses"),
+        (F.col("n_units") + F.size(F.filter("parts", lambda p: F.arrays_overlap(
+            F.transform(p["texts"], lambda y: y["k"]), F.transform("there", lambda y: y["k"]))))).alias("n_units"),
+    )
+
+
+def _digests(spark: SparkSession, known: Sequence[tuple[str, str]]) -> DataFrame:
+    """(digest, license, texts): the licence of an entire text or notice; the texts of several paragraphs that a paragraph is of."""
+    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known])
+    table = spark.range(1).select(F.inline(rows)).select("license", canonical(F.col("text")).alias("t"))
+    parts = F.filter(F.transform(F.split("t", r"\n{2,}"), _one_line), lambda p: F.length(p) >= LEAST_PARAGRAPH)
+    table = table.select("license", F.sha2(_one_line("t"), 256).alias("digest"), F.transform(parts, lambda p: F.sha2(p, 256)).alias("parts"))
+    whole: dict[str, str] = {}
+    texts: dict[frozenset[str], str] = {}
+    for r in table.collect():
+        whole[r.digest] = min(r.license, whole.get(r.digest, r.license))
+        own = frozenset(r.parts)
+        if len(own) > 1:
+            texts[own] = min(r.license, texts.get(own, r.license))
+    numbered = list(texts.items())
+    of: dict[str, list[tuple[int, str, int, list[int]]]] = {}
+    for k, (own, name) in enumerate(numbered):
+        larger = [j for j, (other, _) in enumerate(numbered) if own < other]
+        for digest in own:
+            of.setdefault(digest, []).append((k, name, len(own), larger))
+    found = [(d, whole.get(d), of.get(d)) for d in sorted(whole.keys() | of.keys())]
+    return spark.createDataFrame(
+        found, "digest string, license string, texts array<struct<k: int, license: string, need: int, larger: array<int>>>"
     )

@@ -2,7 +2,7 @@ import random
 
 from helpers import AWKWARD, empty, prose, table
 
-from kvspark.llm.licenses import KNOWN, scan
+from kvspark.llm.licenses import KNOWN, TEXTS, scan
 
 MIT = next(t for name, t in KNOWN if name == "MIT")
 
@@ -39,3 +39,23 @@ def test_own_table_repeated_rows_and_empty(spark):
     rows = scan(docs, [("X", "mine alone")]).collect()
     assert sorted((r.doc_id or 0, r.whole or "") for r in rows) == [(0, ""), (1, "X"), (1, "X")]
     assert scan(empty(spark)).collect() == []
+
+
+def test_entire_long_licences_and_paragraphs_among_other_text(spark):
+    rng = random.Random(3)
+    bsd = {name: text for name, text in KNOWN if text.startswith("Redistribution")}
+    texts = [
+        *[text for _, text in TEXTS],
+        "# A tool\n\n" + prose(rng, 40) + "\n\n" + MIT + "\n\nimport os\n",
+        prose(rng, 40) + "\n\n" + bsd["BSD-3-Clause"],
+        prose(rng, 40) + "\n\n" + bsd["BSD-2-Clause"],
+        "MIT\n\nDefinitions.\n\n" + prose(rng, 20),
+    ]
+    got = {r.doc_id: (r.whole, r.licenses, r.n_units) for r in scan(table(spark, texts)).collect()}
+    n = len(TEXTS)
+    assert [name for name, _ in TEXTS] == ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    assert [got[i][0] for i in range(n)] == [name for name, _ in TEXTS]
+    assert got[n] == (None, ["MIT"], 3)
+    assert got[n + 1][1] == ["BSD-3-Clause"] and got[n + 1][2] == 5
+    assert got[n + 2][1] == ["BSD-2-Clause"]
+    assert got[n + 3] == (None, [], 0)
