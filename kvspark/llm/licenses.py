@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup, with DataFrame functions only.
 
 Texts are made canonical: lower case, one spelling for words that licences spell
-in several ways, no copyright lines, and nothing but letters and digits between
+in several ways, no copyright holders, and nothing but letters and digits between
 single spaces. An entire text, each of its paragraphs and each of its lines is
 then looked up by SHA-256 in a table of the digests of known licence texts and
 notices. A text with one more or fewer word than the known one is not found; that
@@ -26,8 +26,21 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that begin with these words name a holder and not a licence; for (?im) with ``\n`` as the only line end.
+#: Lines that begin with these words name a holder; what the SQL takes out, see ``HOLDER``. For (?im) with ``\n`` as the only line end.
 COPYRIGHT = r"^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
+#: What may follow a holder in its line and is looked up: a notice, or a sentence after a word that is no abbreviation.
+_NOTICE_WORDS = r"all rights reserved|licen[sc]ed? |licen[sc]e:|released |distributed |this (?:work|software|project|file|program) |permission |spdx"
+_END = (
+    rf"(?:[.,;]?[ \t]+(?={_NOTICE_WORDS})"
+    r"|(?<=[\p{L}\p{N})]{2})(?<!\b(?:inc|ltd|co|corp|dr|mr|ms|mrs|jr|sr|st|llc|prof))\.[ \t]+(?=(?-i:\p{Lu}))|$)"
+)
+#: Start of a line that names a holder, up to its end; ``(c)`` only before a year or a name, as it also numbers clauses.
+HOLDER = (
+    r"^[^\p{L}\p{N}\n]*(?:copyright\b(?![ \t]+(?:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|and|or|in|is)\b)|©|all rights reserved\b"
+    r"|\(c\)(?=[ \t]*(?:copyright\b|\d{4}|(?-i:\p{Lu}[\p{L}.'-]*(?:[ \t]+(?:and[ \t]+)?\p{Lu}[\p{L}.'-]*){0,5}[ \t]*)"
+    rf"(?:[.,]?$|[.,]?[ \t]+(?:{_NOTICE_WORDS}))))"
+    rf")[^\n]*?{_END}"
+)
 #: Spelling -> the one that is kept; applied to lower-case text.
 SPELLINGS = (
     ("licence", "license"),
@@ -146,7 +159,10 @@ LEAST_PARAGRAPH = 60
 def canonical(text: Column) -> Column:
     """Canonical text; lines stay apart, and so do paragraphs."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    out = F.lower(F.regexp_replace(out, "(?imd)" + COPYRIGHT, ""))
+    # Twice: a holder, and the rights reserved after it.
+    for _ in range(2):
+        out = F.regexp_replace(out, "(?imd)" + HOLDER, "")
+    out = F.lower(out)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")

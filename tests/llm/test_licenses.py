@@ -59,3 +59,19 @@ def test_entire_long_licences_and_paragraphs_among_other_text(spark):
     assert got[n + 1][1] == ["BSD-3-Clause"] and got[n + 1][2] == 5
     assert got[n + 2][1] == ["BSD-2-Clause"]
     assert got[n + 3] == (None, [], 0)
+
+
+def test_only_the_holder_is_taken_out_of_a_copyright_line(spark):
+    texts = [
+        "Copyright (c) 2021 A. Body. Licensed under the Apache License, Version 2.0.",
+        "All rights reserved. Released under the MIT License.",
+        "// (c) 2020 Some One Inc. All rights reserved. Licensed under CC BY-NC 4.0.",
+        "Copyright 2019 Body, Inc., released under the MIT License.",
+        "(c) Some Body\nReleased under the MIT License.",
+        "(c) You must not sell it.", "(c) You may sell it.",
+        "Copyright (c) 2020 The St. Louis Group, Acme Ltd. All rights reserved.",
+    ]
+    known = [*KNOWN, ("X", "(c) You may sell it.")]
+    got = {r.doc_id: (r.whole, r.licenses) for r in scan(table(spark, texts), known).collect()}
+    assert [got[i][1] for i in range(8)] == [["Apache-2.0"], ["MIT"], ["CC-BY-NC-4.0"], ["MIT"], ["MIT"], [], ["X"], []]
+    assert got[4][0] == "MIT"
