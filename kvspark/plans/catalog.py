@@ -464,6 +464,13 @@ def record_head(spark, sf_dir):
     return log.select("key", F.hex(F.substring(raw, 1, 28)).alias("head"))
 
 
+@register()
+def record_hex(spark, sf_dir):
+    log = kv(spark, sf_dir)
+    raw = codec.encode_record(F.col("key"), F.col("key") % 1000, F.lit(0.0), F.lit(False), "u64", "u32")
+    return log.select("key", F.hex(raw).alias("raw"))
+
+
 @register("SELECT o_orderkey AS key, o_totalprice AS value, 1000.0::DOUBLE AS ts_ms, o_orderkey % 7 = 0 AS deleted FROM orders WHERE o_orderkey % 7 <> 0 "
           "UNION ALL SELECT o_orderkey, NULL, 1000.0::DOUBLE, true FROM orders WHERE o_orderkey % 7 = 0")
 def record_roundtrip(spark, sf_dir):
