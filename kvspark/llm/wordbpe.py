@@ -3,9 +3,11 @@
 The tokenizer composes characters (NFC), lower-cases, drops white space and splits
 a text into pre-tokens, none of which spans white space, and BPE never looks
 beyond a pre-token. So a text's ids are those of its lower-cased words one after
-the other, and a word met before needs no BPE. New words are encoded together
-and told apart by offsets. A text with special tokens, with characters on which
-notions of white space or lower case differ, or not composed, is encoded whole.
+the other, and a word met before needs no BPE. New words of Latin letters, perhaps
+with marks at the end, are pre-tokens already and go to the BPE model itself; other
+new words are encoded together and told apart by offsets. A text with special
+tokens, with characters on which notions of white space or lower case differ, or
+not composed, is encoded whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,15 @@ MOST_WORDS, MOST_CHARS = 1_200_000, 16_000_000
 _ODD = re.compile(
     "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 )
+#: Letters that are a pre-token, and marks after them that are another.
+_SIMPLE = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?#$%&*|)]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: b if b in printable else next(others) for b in range(256)}
 
 
 class WordIds:
@@ -34,6 +45,8 @@ class WordIds:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.known: dict[str, bytes] = {}
         self.chars = 0
+        self.letters = _byte_letters()
+        self.code = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -42,6 +55,27 @@ class WordIds:
         return not (_ODD.search(text) or self.special.search(text)) and unicodedata.is_normalized("NFC", text)
 
     def _learn(self, words: list[str]) -> None:
+        known, code, tokenize, others = self.known, self.code, self.tokenizer.model.tokenize, []
+        for word in words:
+            simple = _SIMPLE.fullmatch(word)
+            if not simple:
+                others.append(word)
+                continue
+            ids = b""
+            for part in simple.groups():
+                if not part:
+                    continue
+                own = known.get(part)
+                if own is None:
+                    spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                    own = known[part] = b"".join([code[t.id] for t in tokenize(spelled)])
+                ids += own
+            known[word] = ids
+            self.chars += len(word)
+        if others:
+            self._learn_together(others)
+
+    def _learn_together(self, words: list[str]) -> None:
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         starts = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found))
         begins = np.cumsum([0] + [len(w) + 1 for w in words])
