@@ -14,13 +14,17 @@ sections are counted as section -1, which is returned where there are any.
 
 Defined results: null text is empty; an empty text without given spans has one
 section without tokens. Repeated rows are counted alike, each on its own. Spans
-must not overlap; null spans are none. An empty table gives an empty result.
+must not overlap; null spans are none. An empty table gives an empty result. A text
+of any length is encoded whole; runs of white space beyond ``LONG_SPACE`` are handed
+to BPE as the pre-token that they are, since the pattern would backtrack over them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,14 @@ from pyspark.sql import functions as F
 RULES = ("start", "end", "most")
 #: How the byte-level vocabularies split a text: contractions, words, numbers, other characters, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of a run of white space (as the pattern sees it) from which it is encoded apart.
+LONG_SPACE = 1000
+_LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
 
 
+@lru_cache(maxsize=2)
 def encoding(ranks_file: str):
-    """A tiktoken encoding of a rank file, and the number of bytes of each id."""
+    """A tiktoken encoding of a rank file, and the number of bytes of each id; kept between the tasks of a Python worker."""
     import tiktoken
 
     with open(ranks_file, "rb") as f:
@@ -44,6 +52,23 @@ def encoding(ranks_file: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(coder, text: str) -> np.ndarray:
+    """Ids of a whole text.
+
+    A run of white space that ends a text is one pre-token; before other characters, all but its last one are.
+    """
+    parts, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        if run.start() > at:
+            parts.append(coder.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(np.array(coder._core_bpe.encode_single_piece(text[run.start() : end].encode()), dtype=np.uint32))
+        at = end
+    if at < len(text):
+        parts.append(coder.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
 def line_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans of lines, each with its newline; a text has at least one."""
     ends = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10) + 1
@@ -109,7 +134,7 @@ def token_counts(
                 for i in range(part.num_rows):
                     whole = part.column(1)[i].as_py() or ""
                     raw = whole.encode()
-                    ids = coder.encode_to_numpy(whole, disallowed_special=()) if whole else np.zeros(0, np.int64)
+                    ids = encode(coder, whole)
                     chars = None if len(raw) == len(whole) else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
                     if spans:
                         table = np.array(part.column(2)[i].as_py(), dtype=np.int64).reshape(-1, 2)

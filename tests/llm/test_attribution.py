@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from helpers import AWKWARD, empty, prose, table
 
-from kvspark.llm.attribution import allocate, encoding, token_counts
+from kvspark.llm.attribution import allocate, encode, encoding, token_counts
 from kvspark.llm.catalog import BYTE_BPE
 
 coder, _ = encoding(BYTE_BPE)
@@ -89,3 +89,12 @@ def test_repeated_rows_null_spans_and_empty(spark):
 def test_most_prefers_the_earlier_of_equals():
     n, crossing, out = allocate(np.array([4]), np.array([0, 2]), np.array([2, 4]), "most")
     assert n.tolist() == [1, 0] and crossing.tolist() == [1, 0] and out == 0
+
+
+def test_long_runs_of_white_space_are_encoded_as_they_are(spark):
+    for run in (" " * 3000, "\n" * 2001, " \n" * 1500 + "\u3000" * 1200, "\t" * 1000):
+        for text in (f"x{run}y", f"x{run}", run, f"{run}  9{run}.", f"a {run}\x1c{run}b"):
+            assert encode(coder, text).tolist() == coder.encode_ordinary(text), repr(text[:20])
+    long = "x" + " " * 2_000_000 + "y" + "\n" * 1_000_000
+    rows = token_counts(table(spark, [long, "é" * 2_000_000, "?!" * 1_000_000]), BYTE_BPE).filter("section < 2").collect()
+    assert {(r.doc_id, r.section) for r in rows} == {(0, 0), (0, 1), (1, 0), (2, 0)}
