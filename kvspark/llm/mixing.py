@@ -5,8 +5,12 @@ the mix ``target / source_size`` times, the same for all documents of a source.
 The whole part is taken as it is. The fractions are rounded pairwise: of two open
 documents, one hands mass to the other, in a random direction that keeps each
 one's expectation, until one is at 0 or 1; size times fraction, summed over both,
-stays the same. Large documents are closed first, so what stays open is small. So a source's taken words differ from its target by less than one
-document, whatever the draws.
+stays the same. Large documents are closed first, so what stays open is small, and a
+source's taken words differ from its target by less than that document. A document
+that is too large for this (the others have too little mass or room to close it in
+either direction, as where all fractions are near 0 or 1) would miss the target
+whenever it is drawn: it goes to its nearer whole number without a draw, and
+its mass to or from the others.
 
 Pairs are formed in a tree. Leaves are hash buckets of about ``LEAF`` documents of
 one source, so a source that holds a third of all rows is many tasks; each leaves
@@ -17,7 +21,8 @@ seed and document, so reruns agree.
 Sources are weighed in code-point order, null last, by the repeated ``weights``;
 shares of all words are capped at ``MOST`` times the source's own words, and the
 excess is shared again by weight. A source without words has target 0. Repeated
-rows are documents of their own. Rows of an empty table: none.
+rows are documents of their own. Null text has size 0, and a text of any length is
+counted whole. Rows of an empty table: none. Extra columns are left as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvspark.llm.tables import written
+from kvspark.llm.tables import fresh, join_hot, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -105,10 +110,11 @@ def round_bucket(size: np.ndarray, part: np.ndarray, draw: np.ndarray) -> np.nda
     Each document is paired with the ones after it, in turn, until it is at 0 or
     1; its draw decides the direction of all its pairs. A partner gives or takes
     at most what it has or has room for in either direction, in such shares that
-    its expectation stays. Where the rest can't close a document, pairs draw singly.
+    its expectation stays. Where the rest can't close a document, pairs draw singly;
+    if that is so from the start, the document is too large and :func:`_settle` decides.
     """
     p, s, u = part.astype(float).tolist(), size.astype(float).tolist(), draw.tolist()
-    n = len(p)
+    n, too_large = len(p), True
     for a in range(n):
         if _closed(p[a]):
             p[a] = float(round(p[a]))
@@ -122,12 +128,28 @@ def round_bucket(size: np.ndarray, part: np.ndarray, draw: np.ndarray) -> np.nda
                 if need <= _EPS:
                     break
         if need > _EPS:
-            return _single_pairs(p, s, u, a)
+            if not too_large:
+                return _single_pairs(p, s, u, a)
+            _settle(p, s, a)
+            continue
+        too_large = False
         up = u[a] < pa
         for b, x in pairs:
             p[b] += (-x * (1 - pa) if up else x * pa) / s[b]
         p[a] = float(up)
-    return np.array(p)
+    return _single_pairs(p, s, u, 0)
+
+
+def _settle(p: list[float], s: list[float], a: int) -> None:
+    """``a`` at its nearer whole number if the documents after it can take or give its mass, else at the other, else as it is."""
+    size, now = np.array(s[a + 1 :]), np.array(p[a + 1 :])
+    mass, room = float((size * now).sum()), float((size * (1 - now)).sum())
+    for up in (p[a] >= 0.5, p[a] < 0.5):
+        moved = s[a] * (1 - p[a]) if up else s[a] * p[a]
+        if moved <= (mass if up else room) * (1 - _EPS):
+            p[a + 1 :] = (now * (1 - moved / mass) if up else now + (size > 0) * (1 - now) * moved / room).tolist()
+            p[a] = float(up)
+            return
 
 
 def _single_pairs(p: list[float], s: list[float], u: list[float], first: int) -> np.ndarray:
@@ -185,14 +207,8 @@ def mix(
     share = written(share.withColumn("buckets", buckets.cast("long")), "targets")
     kind = dict(own.dtypes)["doc_id"]
     schema = _SCHEMA.format(kind)
-    # A source's row is needed by all its documents: hot sources (a bounded number) are broadcast, others shuffled.
-    total = own.count()
-    hot = share.filter(F.col("n_docs") * 1000 >= total)
-    all_docs = own.join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("its_source"))).unionByName(
-        own.join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("its_source")), "left_anti").join(
-            share, F.col("source").eqNullSafe(F.col("its_source"))
-        )
-    )
+    # A source's row is needed by all its documents.
+    all_docs = join_hot(own, share, F.col("source").eqNullSafe(F.col("its_source")), "n_docs", own.count())
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     all_docs = (
@@ -226,8 +242,9 @@ def mix(
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    copies = mix(numbered, doc_id, text, source, row="__row").filter("copies > 0")
-    copies = copies.select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    repeated = F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")
-    return numbered.join(copies, "__row").select(*docs.columns, repeated).drop("__copy")
+    row, copy = fresh(docs, "__row"), fresh(docs, "__copies")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    copies = mix(numbered, doc_id, text, source, row=row).filter("copies > 0")
+    copies = copies.select(F.col("row").alias(row), F.col("copies").alias(copy))
+    repeated = F.explode(F.array_repeat(F.lit(1), F.col(copy))).alias(copy)
+    return numbered.join(copies, row).select(*docs.columns, repeated).drop(copy)

@@ -90,3 +90,24 @@ def test_stage_repeats_documents(spark):
     for r in out.collect():
         got[r.doc_id] += 1
     assert dict(got) == {k: n for k, n in copies.items() if n}
+
+
+def test_documents_too_large_to_be_drawn_dont_miss_the_target():
+    rng = np.random.default_rng(1)
+    size = np.sort(rng.lognormal(5, 1, 200))[::-1].round()
+    for p in (0.01, 0.04, 0.5, 0.96, 0.99):
+        for _ in range(20):
+            out = round_bucket(size, np.full(200, p), rng.random(200))
+            assert abs((out * size).sum() - p * size.sum()) < 1e-6 * size.sum()
+            left = np.flatnonzero((out > 0) & (out < 1))
+            assert len(left) <= 1 and size[left].sum() < 0.005 * size.sum()
+    # A document that nothing can take the place of stays open.
+    assert round_bucket(np.array([50.0, 1.0]), np.array([0.5, 0.5]), np.array([0.3, 0.4]))[1] in (0, 1)
+
+
+def test_every_source_of_a_table_comes_near_its_target(spark):
+    rows = mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= 0.01 * r.target for r in rows)
