@@ -1,7 +1,8 @@
 r"""Exact dedup by content-defined chunk recipes, with DataFrame functions only.
 
-A text is normalised by deleting ``[\x20\x09-\x0D]`` and cut where the content
-itself says so, so equal passages give equal chunks wherever they stand. A chunk
+A text is normalised by deleting ``[\x20\x09-\x0D]`` and its UTF-8 bytes are cut where
+the content itself says so, in whatever script: equal passages give equal chunks
+wherever they stand. A chunk
 is known by a 64-bit identifier. Identifiers are verified over the distinct
 chunks of the whole table: one that stands for two different chunks (by SHA-256)
 is in doubt, and texts that hold it are told apart by the digests of all their
@@ -11,8 +12,9 @@ equal normalised texts. Only identifiers and digests are shuffled, never a text.
 Defined results: null text counts as empty; all empty texts are one group. Of a
 group, the row with the most code points in the original text, then the smallest
 ``doc_id`` (null last) stays, and of rows that repeat both exactly one. Extra
-columns are ignored, also when their names clash with those used here. An empty
-table gives an empty result.
+columns are ignored, also when their names clash with those used here. A text of any
+length is read whole; its chunks are at most ``HIGH`` bytes. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.tables import written
+from kvspark.llm.tables import fresh, join_hot, written
 
-#: A chunk ends at a content-chosen pair of characters after LOW characters, at HIGH at the latest.
+#: A chunk ends at a content-chosen pair of bytes after LOW bytes, at HIGH at the latest. The pairs occur every few
+#: dozen bytes in Latin text (letter and mark), in Cyrillic, Greek, Arabic and so on (two-byte letters) and in CJK.
 LOW, HIGH = 256, 4096
-CHUNK = rf"(?s).{{{LOW},{HIGH}}}?[a-dx-z0-9][.,;:!?A-Z]|.{{1,{HIGH}}}"
-#: A group with at least 1 / HOT of all rows is hot; so there are at most HOT such groups.
-HOT = 1000
+_PAIR = r"[a-dx-z0-9\x81\x85\x8b\x95\x9d\xa5\xa9\xb5\xb8\xbe][.,;:!?A-Z\xc3\xcf\xd1\xd7\xd9\xe1\xe3\xe5\xe7\xe9\xeb\xed\xf0]"
+CHUNK = rf"(?s).{{{LOW},{HIGH}}}?{_PAIR}|.{{1,{HIGH}}}"
 
 
 def normalised(text: Column) -> Column:
@@ -36,8 +38,8 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Chunks of a normalised text, in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """Chunks of a normalised text, in order; together they are its UTF-8 bytes, a character for each byte."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(CHUNK), F.lit(0))
 
 
 def recipes(
@@ -99,10 +101,7 @@ def exact_groups(
     groups = written(
         own.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")), "groups"
     ).select("key", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
-    total = own.count()
-    # At most HOT rows of fixed width, so they can be broadcast; all other groups are small enough to shuffle.
-    hot = F.broadcast(groups.filter(F.col("group_size") * HOT >= total))
-    found = own.join(hot, "key").unionByName(own.join(hot, "key", "left_anti").join(groups, "key"))
+    found = join_hot(own, groups, "key", "group_size", own.count())
     return found.select(
         "row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
@@ -110,6 +109,7 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    dropped = exact_groups(numbered, doc_id, text, row="__row").filter(~F.col("kept"))
-    return numbered.join(dropped.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
+    row = fresh(docs, "__row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    dropped = exact_groups(numbered, doc_id, text, row=row).filter(~F.col("kept"))
+    return numbered.join(dropped.select(F.col("row").alias(row)), row, "left_anti").drop(row)

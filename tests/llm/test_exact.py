@@ -59,6 +59,18 @@ def test_chunks_join_to_the_text_and_are_content_defined(spark):
     assert len(set(a) & set(b)) > 0.8 * len(a)
 
 
+def test_chunks_of_other_scripts_are_content_defined(spark):
+    rng = random.Random(2)
+    scripts = {"ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "zh": range(0x4E00, 0x6000), "ar": range(0x627, 0x64A), "de": [*range(97, 123), 0xE4, 0xDF]}
+    for letters in scripts.values():
+        text = "".join(chr(rng.choice(letters)) for _ in range(60_000))
+        df = spark.createDataFrame([(0, text), (1, text[:7] + "新" + text[7:])], "i int, t string").select("i", chunks(F.col("t")).alias("c"))
+        a, b = (r.c for r in df.orderBy("i").collect())
+        assert "".join(a).encode("latin-1").decode() == text and max(map(len, a)) <= HIGH + 2
+        if letters != scripts["de"]:
+            assert len(a) > len(text.encode()) / 1500 and len(set(a) & set(b)) > 0.9 * len(a)
+
+
 def test_repeated_rows_keep_exactly_one(spark):
     docs = table(spark, ["a b", "a b", "ab", None, ""], ids=[4, 4, 9, None, 1])
     rows = exact_groups(docs).collect()
