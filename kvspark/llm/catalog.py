@@ -16,11 +16,23 @@ from kvspark.llm.licenses import COPYRIGHT, KNOWN, SPELLINGS, scan
 from kvspark.llm.lshforest import near_groups
 from kvspark.llm.mixing import mix
 from kvspark.llm.packing import pack_documents
-from kvspark.llm.quality import BASE_RULES, METHOD_RULES, STOP_WORDS, quality_rules
+from kvspark.llm.quality import BASE_RULES, METHOD_RULES, STOP_WORDS, quality_rules, stop_forms
 from kvspark.llm.urls import ALPHABET, SEEN, SIZE, SPAN, STEP, judge
 
-#: Where the public tokenizer files are.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def _tokenizers() -> str:
+    """Folder of the public tokenizer files: that of the variable, of the package, or the usual one."""
+    if given := os.environ.get("PUBLIC_TOKENIZERS"):
+        return given
+    try:
+        import public_tokenizers
+    except ImportError:
+        return "/opt/tokenizers"
+    return os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+
+
+TOKENIZERS = _tokenizers()
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
@@ -69,9 +81,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
-_STOPS = ", ".join(
-    f"'{x}'" for x in sorted({f(w) for s in STOP_WORDS.values() for w in s.split() for f in (str, str.capitalize, str.upper)})
-)
+_STOPS = ", ".join(f"'{x}'" for x in stop_forms(STOP_WORDS))
 _WS = r"[\x20\x09-\x0D]"
 SQL["op5_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

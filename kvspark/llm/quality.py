@@ -1,22 +1,31 @@
 r"""Quality rules: a threshold table compiled into one projection.
 
 Every metric is a built-in expression over the whole text, every rule a
-comparison of a metric with a threshold, and the verdict their conjunction, so
-the operator is a single ``Project`` over the scan: no shuffle, no user function.
+comparison of a metric with a threshold, and the verdict their conjunction: no
+shuffle, no user function. The plan is a chain of projections over the scan, as each
+is compiled apart, and a ``Generate`` of one row each that keeps filters on the
+verdict from repeating them.
+
+The stop words are those of four languages, unless others are given: with them, texts in
+other languages lack stop words and go. Without any list the rule is left out.
 
 Words are ``[^\x20\x09-\x0D]+``; lines are split at ``\n`` and count when they
 hold a word. Null text has no words and fails ``n_words``. Repeated rows are
-judged alike, each on its own; ratios with an empty denominator are 0.
+judged alike, each on its own; ratios with an empty denominator are 0. Texts of any
+length are judged whole, within what an array of the JVM holds. Columns of ``docs``
+stay as they are, whatever their names; only one named ``quality`` is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvspark.llm.tables import fresh
+
 SPACE = r"[\x20\x09-\x0D]+"
 STOP_WORDS = {
     "en": "the of and to in is are was that for with as on be at by this it from or an",
@@ -81,18 +90,19 @@ def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """
     w = F.col(words)
     size = F.size(w)
+    hashes, keys, grams, places = (fresh(df, n) for n in ("__h", "__k", "__g", "__p"))
     steps = df.withColumn(
-        "__h",
+        hashes,
         F.transform(
             F.slice(w, F.lit(1), F.greatest(size - 2, F.lit(0))),
             lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
         ),
     )
-    h = F.col("__h")
+    h = F.col(hashes)
     some = F.size(F.array_distinct(h)) < F.size(h)
     keyed = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long")))
-    steps = steps.withColumn("__k", F.when(some & (size <= 1 << PLACE_BITS), F.sort_array(keyed)))
-    k = F.col("__k")
+    steps = steps.withColumn(keys, F.when(some & (size <= 1 << PLACE_BITS), F.sort_array(keyed)))
+    k = F.col(keys)
     hashed = F.transform(
         _neighbours(k, lambda x: F.shiftright(x, PLACE_BITS)),
         lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"),
@@ -102,26 +112,31 @@ def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
         candidates,
         lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")),
     )
-    steps = steps.withColumn("__g", F.sort_array(windows))
+    steps = steps.withColumn(grams, F.sort_array(windows))
     steps = steps.withColumn(
-        "__p", F.sort_array(F.transform(_neighbours(F.col("__g"), lambda x: x["g"]), lambda x: x["i"]))
+        places, F.sort_array(F.transform(_neighbours(F.col(grams), lambda x: x["g"]), lambda x: x["i"]))
     )
-    p = F.col("__p")
+    p = F.col(places)
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x)),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return steps.withColumn(out, F.coalesce(covered, F.lit(0).cast("long"))).drop("__h", "__k", "__g", "__p")
+    return steps.withColumn(out, F.coalesce(covered, F.lit(0).cast("long"))).drop(hashes, keys, grams, places)
+
+
+def stop_forms(stop_words: Mapping[str, str]) -> list[str]:
+    """The words of all lists as they are, capitalised and in capitals."""
+    return sorted({f(w) for line in stop_words.values() for w in line.split() for f in (str, str.capitalize, str.upper)})
 
 
-def metrics(words: Column, text: Column) -> dict[str, Column]:
-    """Named metrics of a text; ``words`` is the column of :func:`words_of`; ``__repeated`` must be there."""
+def metrics(words: Column, text: Column, repeated: Column, stop_words: Mapping[str, str] = STOP_WORDS) -> dict[str, Column]:
+    """Named metrics of a text; ``words`` is that of :func:`words_of`, ``repeated`` that of :func:`with_repeated_words`."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     n_lines = F.size(lines)
     n_words = F.size(words).cast("long")
-    stops = sorted({f(w) for line in STOP_WORDS.values() for w in line.split() for f in (str, str.capitalize, str.upper)})
+    stops = stop_forms(stop_words)
 
     def per(count: Column, whole: Column) -> Column:
         return F.when(whole == 0, F.lit(0.0)).otherwise(count.cast("double") / whole)
@@ -131,12 +146,12 @@ def metrics(words: Column, text: Column) -> dict[str, Column]:
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (n_lines - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.col("__repeated"),
+        "n_repeat_words": repeated,
         "n_lines": n_lines.cast("long"),
         "n_bullet_lines": _matching(lines, r"^[\x20\x09-\x0D]*[-*•]"),
         "n_ellipsis_lines": _matching(lines, r"(\.\.\.|…)[\x20\x09-\x0D]*$"),
         "n_unlettered": F.regexp_count(
-            text, F.lit(r"[^\p{L}\x20\x09-\x0D](?<![^\x20\x09-\x0D].)[^\p{L}\x20\x09-\x0D]*+(?!\p{L})")
+            text, F.lit(r"(?s)[^\p{L}\x20\x09-\x0D](?<![^\x20\x09-\x0D].)[^\p{L}\x20\x09-\x0D]*+(?!\p{L})")
         ).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stops))).cast("long"),
         "per": per,
@@ -169,18 +184,22 @@ def quality_rules(
     base: Sequence[Rule] = BASE_RULES,
     rules: Sequence[Rule] = METHOD_RULES,
     text: str = "text",
+    stop_words: Mapping[str, str] = STOP_WORDS,
 ) -> DataFrame:
     """``docs`` with a struct ``quality`` of all counts, ``base_failed`` and ``kept``.
 
-    Columns of ``docs`` stay as they are; a column of theirs named ``quality`` is
-    replaced. An empty table gives an empty result with the same columns.
+    ``stop_words`` holds a list of words by language. An empty table gives an empty
+    result with the same columns.
     """
-    counts = metrics(F.col("__words"), F.col(text))
+    words, repeated, counted = (fresh(docs, n) for n in ("__words", "__repeated", "__counts"))
+    if not stop_words:
+        rules = [r for r in rules if r.metric != "stop_word_ratio"]
+    counts = metrics(F.col(words), F.col(text), F.col(repeated), stop_words)
     per = counts.pop("per")
     scalars = F.struct(*[v.alias(k) for k, v in counts.items()])
-    measured = with_repeated_words(docs.withColumn("__words", words_of(F.col(text))), "__words", "__repeated")
-    measured = measured.withColumn("__counts", scalars)
-    count = {k: F.col(f"__counts.{k}") for k in counts}
+    measured = with_repeated_words(docs.withColumn(words, words_of(F.col(text))), words, repeated)
+    measured = measured.withColumn(counted, scalars)
+    count = {k: F.col(counted)[k] for k in counts}
     metric = count | {k: per(count[a], count[b]) for k, (a, b) in RATIOS.items()}
     metric["repeat_word_percent"] = F.when(count["n_words"] == 0, F.lit(0.0)).otherwise(
         100 * count["n_repeat_words"] / count["n_words"]
@@ -193,4 +212,4 @@ def quality_rules(
     )
     # Unnesting is a step that filters on the verdict don't pass; below it they would repeat every expression.
     judged = F.explode(F.array(judged))
-    return measured.withColumn("quality", judged).drop("__words", "__repeated", "__counts")
+    return measured.withColumn("quality", judged).drop(words, repeated, counted)

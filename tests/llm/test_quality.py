@@ -1,8 +1,11 @@
 import random
 from collections import Counter
 
+import regex
 from helpers import AWKWARD, empty, prose, table, words
 
+from pyspark.sql import functions as F
+
 from kvspark.llm.quality import Rule, quality_rules
 
 
@@ -19,6 +22,7 @@ def brute(text):
         "n_symbols": sum(c in "#*$%&|<>" for c in text),
         "n_dup_lines": len(held) - len(set(held)),
         "n_repeat_words": len(covered),
+        "n_unlettered": sum(not any(regex.match(r"\p{L}", c) for c in x) for x in w),
         "base_failed": len(w) < 50 or 100 * len(covered) > 50 * len(w),
     }
 
@@ -29,6 +33,7 @@ def texts():
     for n in (3, 4, 49, 50, 51, 400, 3000):
         for vocabulary in (3, 8, 400, 10**6):
             out.append(prose(rng, n, vocabulary))
+    out += ["word\u2028 wor\u2029- \x85word \x85 - \u2028\u2029 1\x85 a\x85"]
     out += ["a b a b a b", "x y z x y z", "é 日本 | < > é 日本 |", "l1 a\nl1 a\n\n \nl1 a\r\nl1 a", "the " * 60 + prose(rng, 60)]
     return out
 
@@ -64,3 +69,15 @@ def test_own_thresholds_and_empty_table(spark):
 def test_one_projection(spark):
     plan = quality_rules(table(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_own_stop_words_and_clashing_columns(spark):
+    text = " ".join(f"и слово{i:x}" for i in range(60))
+    docs = table(spark, [text]).withColumn("__words", F.lit(1)).withColumn("__K", F.lit(2)).withColumn("__counts", F.lit(3))
+    assert not quality_rules(docs).first().quality.kept
+    assert not quality_rules(docs, stop_words={"ru": "не на"}).first().quality.kept
+    for lists in ({"ru": "и не на"}, {}):
+        kept = quality_rules(docs, stop_words=lists)
+        assert kept.columns == [*docs.columns, "quality"]
+        r = kept.first()
+        assert r.quality.kept and (r["__words"], r["__K"], r["__counts"]) == (1, 2, 3)
