@@ -6,17 +6,20 @@ lines, is normalised (case, punctuation and white space do not count) and
 looked up by hash among the unquoted passages and lines of the conversation's earlier
 messages; the earliest that has it is its original. A message replies to the
 latest original of its outermost quotes, and belongs to the thread of that message.
-Conversations are ordered by thread and turn and keep only what each message says
-itself.
+Conversations are ordered by thread and turn: every message has its position in its
+conversation, and keeps only what it says itself.
 
 Parsing happens inside a row. Originals are reduced to one row per conversation
 and hash before they are joined, so a phrase that everybody uses is one row, and
 joins run on (conversation, hash), so one conversation spreads over tasks. Threads
-are found by pointer doubling.
-
-Defined results: null text is empty. Repeated rows are messages of their own that
-share a turn. A null conversation or turn is linked to nothing. Quotes without an
-original are dropped from the text and counted. An empty table gives an empty result.
+are found by pointer doubling over messages, and positions by ranges of the order.
+
+Defined results: null text is empty; a text of any length is read whole. Repeated
+rows are messages of their own that share a turn, each with its own parent; of those
+that say the same in one turn, one is the original. A null conversation or turn is
+linked to nothing; messages of a null conversation are ordered as one, null turns
+first. Quotes without an original are dropped from the text and counted. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.tables import written
+from kvspark.llm.tables import join_hot, written
+from kvspark.operators.oplog import numbered
 
 #: A passage without a letter or digit says nothing about its origin; every other one is looked up, however short.
 LEAST_CHARS = 1
@@ -75,9 +79,9 @@ def _hashes(units: Column) -> Column:
 def link_quotes(
     messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """(conv_id, turn, role, text, n_quotes, n_linked, parent_turn, thread_turn): one row per row of ``messages``.
+    """(conv_id, turn, role, text, n_quotes, n_linked, parent_turn, thread_turn, position): one row per row of ``messages``.
 
-    ``text`` is without quotes. Reply order is (conv_id, thread_turn, turn).
+    ``text`` is without quotes. ``position`` numbers a conversation's messages in reply order, (thread_turn, turn), from 0.
     """
     own = messages.select(
         F.col(conv_id).alias("conv_id"),
@@ -112,34 +116,46 @@ def link_quotes(
         ).alias("quotes"),
     )
     own = written(own, "messages")
-    said_by = own.select("conv_id", "turn", F.explode("units").alias("hash"))
+    said_by = own.select("conv_id", "turn", "row", F.explode("units").alias("hash"))
     asked = own.filter(F.size("quotes") > 0).select("row", "conv_id", "turn", F.posexplode("quotes").alias("quote", "q"))
     asked = asked.select("row", "conv_id", F.col("turn").alias("at"), "quote", "q.depth", F.explode("q.hashes").alias("hash"))
     # Only hashes that some quote asks for travel on, each once per conversation.
-    wanted = asked.select("conv_id", "hash").distinct()
-    first = said_by.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("turn"))
-    found = written(asked.join(first, ["conv_id", "hash"]).filter(F.col("turn") < F.col("at")), "quotes")
+    wanted = asked.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n_asked"))
+    first = said_by.filter("turn IS NOT NULL").join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash")
+    first = first.agg(F.min(F.struct("turn", "row")).alias("said")).join(wanted, ["conv_id", "hash"])
+    first = written(first.withColumnsRenamed({"conv_id": "c", "hash": "h"}), "originals")
+    met = (F.col("conv_id") == F.col("c")) & (F.col("hash") == F.col("h"))
+    asked = written(asked, "asked")
+    found = join_hot(asked, first, met, "n_asked", asked.count()).filter(F.col("said.turn") < F.col("at"))
     outer = found.groupBy("row").agg(
         F.countDistinct("quote").alias("n_linked"),
-        F.max(F.struct((-F.col("depth")).alias("d"), "turn"))["turn"].alias("parent_turn"),
+        F.max(F.struct((-F.col("depth")).alias("d"), "said"))["said"].alias("parent"),
     )
-    linked = written(own.join(outer, "row", "left"), "linked")
+    outer = written(outer, "links")
     # Pointer doubling along replies; turns grow along them, so there are no circles.
-    up = linked.filter("parent_turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("to"))
-    up = written(up, "replies")
+    up = outer.select("row", "parent")
     more = not up.isEmpty()
     while more:
-        higher = up.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("higher"))
-        stepped = written(up.join(higher, ["conv_id", "to"], "left"), "replies")
-        more = not stepped.filter("higher IS NOT NULL").isEmpty()
-        up = stepped.select("conv_id", "turn", F.coalesce("higher", "to").alias("to"))
-    return linked.join(up, ["conv_id", "turn"], "left").select(
-        "conv_id",
-        "turn",
-        "role",
-        "text",
-        F.size("quotes").cast("long").alias("n_quotes"),
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        "parent_turn",
-        F.coalesce("to", "turn").alias("thread_turn"),
-    )
+        # What many reply to is reached by many rows, but each one's next step is one row.
+        higher = up.groupBy("parent.row").agg(F.count(F.lit(1)).alias("n_replies")).withColumnRenamed("row", "its_row")
+        higher = higher.join(up.select(F.col("row").alias("its_row"), F.col("parent").alias("higher")), "its_row")
+        n = up.count()
+        reached = F.col("parent.row") == F.col("its_row")
+        stepped = join_hot(up, higher, reached, "n_replies", n).select("row", F.col("higher").alias("parent"))
+        stepped = written(stepped, "steps")
+        more = not stepped.isEmpty()
+        up = written(up.join(stepped, "row", "left_anti").unionByName(stepped), "replies")
+    tops = up.select("row", F.col("parent.turn").alias("top"))
+    linked = own.select("row", "conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes")).join(outer, "row", "left").join(tops, "row", "left")
+    linked = linked.select(
+        "row", "conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.col("parent.turn").alias("parent_turn"), F.coalesce("top", "turn").alias("thread_turn"),
+    )
+    linked = written(linked, "linked")
+    # A message's position is its number in the order of all messages, less that of its conversation's first one.
+    order = written(numbered(linked.select("conv_id", "thread_turn", "turn", "row"), "conv_id", "thread_turn", "turn", "row"), "order")
+    begins = order.groupBy(F.col("conv_id").alias("its_conv")).agg(F.min("rn").alias("begin"), F.count(F.lit(1)).alias("n"))
+    begins = written(begins, "conversations")
+    placed = join_hot(order, begins, F.col("conv_id").eqNullSafe(F.col("its_conv")), "n", linked.count())
+    placed = placed.select("row", (F.col("rn") - F.col("begin")).alias("position"))
+    return linked.join(placed, "row").drop("row")

@@ -28,8 +28,8 @@ def test_nested_quotes_link_to_their_originals(spark):
     assert got[1, 4].parent_turn == 3 and got[1, 4].text == "Thanks." and got[1, 4].thread_turn == 1
     assert got[1, 5].parent_turn is None and got[1, 5].thread_turn == 5 and (got[1, 5].n_quotes, got[1, 5].n_linked) == (1, 0)
     assert got[1, 6].parent_turn == 2 and got[1, 6].thread_turn == 2
-    order = [t for _, t in sorted((r.thread_turn, r.turn) for r in got.values())]
-    assert order == [0, 1, 3, 4, 2, 6, 5]
+    order = [r.turn for r in sorted(got.values(), key=lambda r: r.position)]
+    assert order == [0, 1, 3, 4, 2, 6, 5] and sorted(r.position for r in got.values()) == list(range(7))
 
 
 def test_part_of_a_message_and_first_of_equals(spark):
@@ -114,7 +114,7 @@ def brute(rows):
         parsed.append((conv, turn, body, quotes))
         for u in units(["\n".join(own), *(t for d, t in runs if d == 0), *own]):
             said[conv, u] = min(turn, said.get((conv, u), turn))
-    parent, out = {}, []
+    parent, out = {}, []  # turns are distinct here, see the test of shared turns
     for conv, turn, body, quotes in parsed:
         found = [(d, said[conv, u], k) for k, (d, us) in enumerate(quotes) for u in us if said.get((conv, u), turn) < turn]
         up = max(((-d, t) for d, t, _ in found), default=(0, None))[1]
@@ -126,6 +126,9 @@ def brute(rows):
         while (row[0], top) in parent:
             top = parent[row[0], top]
         row.append(top)
+    for conv in {row[0] for row in out}:
+        for position, row in enumerate(sorted((r for r in out if r[0] == conv), key=lambda r: (r[-1], r[1]))):
+            row.append(position)
     return sorted(map(tuple, out))
 
 
@@ -149,7 +152,18 @@ def test_random_conversations_follow_brute_force(spark):
             rows.append((conv, turn, "u", "\n".join(parts)))
     frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA)
     got = sorted(
-        (r.conv_id, r.turn, r.text, r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn) for r in link_quotes(frame).collect()
+        (r.conv_id, r.turn, r.text, r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn, r.position) for r in link_quotes(frame).collect()
     )
     assert [g[:3] for g in got] == [w[:3] for w in brute(rows)]
     assert got == brute(rows)
+
+
+def test_messages_that_share_a_turn_have_their_own_parents(spark):
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in [
+        (1, 0, "a", "The first thing."), (1, 1, "b", "Another thing."), (1, 2, "c", "> The first thing.\nyes one"),
+        (1, 2, "d", "> Another thing.\nyes two"), (1, 3, "a", "> yes two\nfine"), (None, None, "x", "a"), (None, 3, "x", "b"),
+    ]], SCHEMA)
+    got = {(r.conv_id, r.turn, r.role): (r.parent_turn, r.thread_turn, r.position) for r in link_quotes(frame).collect()}
+    assert got[1, 2, "c"] == (0, 0, 1) and got[1, 2, "d"] == (1, 1, 3) and got[1, 3, "a"] == (2, 1, 4)
+    assert got[1, 0, "a"] == (None, 0, 0) and got[1, 1, "b"] == (None, 1, 2)
+    assert got[None, None, "x"] == (None, None, 0) and got[None, 3, "x"] == (None, 3, 1)
