@@ -14,7 +14,7 @@ so it is broadcast; the scan is one pass over the documents, and what is shuffle
 is one small row per document with a finding.
 
 Defined results: a null or empty text, or one of copyright lines only, has no licence.
-Repeated rows are scanned alike, each on its own. Extra columns are ignored. An
+A text of any length is read whole. Repeated rows are scanned alike, each on its own. Extra columns are ignored. An
 empty table gives an empty result.
 """
 
@@ -34,11 +34,16 @@ _END = (
     rf"(?:[.,;]?[ \t]+(?={_NOTICE_WORDS})"
     r"|(?<=[\p{L}\p{N})]{2})(?<!\b(?:inc|ltd|co|corp|dr|mr|ms|mrs|jr|sr|st|llc|prof))\.[ \t]+(?=(?-i:\p{Lu}))|$)"
 )
-#: Start of a line that names a holder, up to its end; ``(c)`` only before a year or a name, as it also numbers clauses.
+_NAME = r"(?-i:\p{Lu}[\p{L}.'-]*(?:[ \t]+(?:and[ \t]+)?\p{Lu}[\p{L}.'-]*){0,5}[ \t]*)"
+_YEAR = r"[ \t]*[:,]?[ \t]*(?:\(c\)|©|\d{4}|by\b|[\[<{(](?:yyyy|year|date)\b|year\b)"
+#: Start of a line that names a holder, up to its end. A line may begin with the word within a sentence, so it counts only
+#: before a mark, a year, or a name after the word itself capitalised; ``(c)`` only before a year or a name, as it also
+#: numbers clauses.
 HOLDER = (
-    r"^[^\p{L}\p{N}\n]*(?:copyright\b(?![ \t]+(?:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|and|or|in|is)\b)|©|all rights reserved\b"
-    r"|\(c\)(?=[ \t]*(?:copyright\b|\d{4}|(?-i:\p{Lu}[\p{L}.'-]*(?:[ \t]+(?:and[ \t]+)?\p{Lu}[\p{L}.'-]*){0,5}[ \t]*)"
-    rf"(?:[.,]?$|[.,]?[ \t]+(?:{_NOTICE_WORDS}))))"
+    rf"^[^\p{{L}}\p{{N}}\n]*(?:copyright\b(?={_YEAR})"
+    r"|(?-i:Copyright)\b(?=[ \t]+(?-i:\p{Lu}))(?![ \t]+(?:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|treat(?:y|ies)|acts?)\b)"
+    r"|©|all rights reserved\b"
+    rf"|\(c\)(?=[ \t]*(?:copyright\b|\d{{4}}|{_NAME}(?:[.,]?$|[.,]?[ \t]+(?:{_NOTICE_WORDS}))))"
     rf")[^\n]*?{_END}"
 )
 #: Spelling -> the one that is kept; applied to lower-case text.

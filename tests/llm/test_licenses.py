@@ -1,4 +1,6 @@
 import random
+import re
+import textwrap
 
 from helpers import AWKWARD, empty, prose, table
 
@@ -75,3 +77,36 @@ def test_only_the_holder_is_taken_out_of_a_copyright_line(spark):
     got = {r.doc_id: (r.whole, r.licenses) for r in scan(table(spark, texts), known).collect()}
     assert [got[i][1] for i in range(8)] == [["Apache-2.0"], ["MIT"], ["CC-BY-NC-4.0"], ["MIT"], ["MIT"], [], ["X"], []]
     assert got[4][0] == "MIT"
+
+
+def wrapped(text, width):
+    """Paragraphs filled to a width; lines that name a holder stay lines of their own."""
+    out = []
+    for paragraph in re.split(r"\n[ \t]*\n", text):
+        lines = []
+        for line in paragraph.split("\n"):
+            if re.match(r"\s*copyright \(c\)", line, re.I) or (lines and re.match(r"\s*copyright \(c\)", lines[-1], re.I)):
+                lines.append(line)
+            elif lines:
+                lines[-1] += " " + line
+            else:
+                lines.append(line)
+        fill = lambda x: x if re.match(r"\s*copyright \(c\)", x, re.I) else textwrap.fill(" ".join(x.split()), width, break_on_hyphens=False, break_long_words=False)
+        out.append("\n".join(map(fill, lines)))
+    return "\n\n".join(out)
+
+
+def test_every_entire_text_is_found_at_every_width(spark):
+    entire = {}
+    for name, text in [*KNOWN, *TEXTS]:
+        if len(text) > 400:
+            entire.setdefault(name, text)
+    assert len(entire) == 11
+    cases = [(name, width, wrapped(text, width)) for name, text in entire.items() for width in (56, 60, 61, 65, 68, 72, 76, 79, 80, 81, 90, 93, 100)]
+    got = {r.doc_id: r.whole for r in scan(table(spark, [t for _, _, t in cases])).collect()}
+    assert [(name, width) for i, (name, width, _) in enumerate(cases) if got[i] != name] == []
+
+
+def test_no_python_in_the_plan(spark):
+    plan = scan(table(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
