@@ -3,9 +3,11 @@
 Texts become sets of five-word shingles, sets become 128-bit SimHashes. Each trie
 of the forest orders all SimHashes by 64 of their bits in a random order, so a
 node of the trie is a run of the sorted order with a common prefix. Depth follows
-density: the forest starts at the depth where a node holds ``LEAF`` texts on
-average, and has as many tries as that prefix length needs for the target recall at
-the similarity asked for (shorter prefixes, fewer tries). All tries draw on the same
+density: where a node holds more than ``DENSE`` texts, the search begins at longer
+prefixes, bit by bit; elsewhere at the depth where a node holds ``LEAF`` texts on
+average. From there it climbs to shorter prefixes until ``MOST_TRIES`` tries reach the target
+recall at the similarity asked for, and the forest has as many tries as the prefix it
+climbs to needs (shorter prefixes, fewer tries). All tries draw on the same
 bits, so recall is taken over the distribution of the bits in which a pair differs.
 Sets of few shingles differ in more bits: short texts have further tries, and a
 larger number of bits up to which they are candidates. Texts of a node whose
@@ -20,14 +22,16 @@ The first pass is a shortcut: it is range-partitioned on (trie, bits, text), goe
 deeper where a node holds more than ``DENSE`` texts, and pairs the texts of each
 node passed on the way with the one nearest to the majority of their bits, the
 likely origin of a family. What it may have missed stays open. The second pass
-compares whole nodes: a node of more than ``DENSE`` texts is cut to blocks, and
-every two blocks meet in a task, but texts of one class aren't compared again.
+climbs to the prefix at which recall holds and compares whole nodes of it: one of more
+than ``DENSE`` texts is cut to blocks, and every two blocks meet in a task, but texts of
+one class aren't compared again.
 Equal texts are one node from the start, and text moves only to verify.
 
 Defined results: a text without words (or null) is a class of its own; with fewer
 than five words, its word list is its one shingle. ``class_id`` is the smallest
-``doc_id`` of the class. Repeated rows share their class. Extra columns are
-ignored. An empty table gives an empty result.
+``doc_id`` of the class. Repeated rows share their class. A text of any length is
+sketched and compared whole. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -44,13 +48,15 @@ from pyspark.sql import functions as F
 
 from kvspark.llm.graph import components
 from kvspark.llm.shingles import jaccard, mix, shingle_sets
-from kvspark.llm.tables import written
+from kvspark.llm.tables import fresh, join_hot, written
 
 BITS = 128
 SIMILARITY = 0.8
 RECALL = 0.99
 #: Texts in a node on average, and at most before the trie goes deeper.
 LEAF, DENSE = 512, 16_384
+#: Tries at most: where a prefix needs more for the target recall, the search climbs to a shorter one.
+MOST_TRIES = 128
 #: Rows of one trie partition.
 RANGE = 300_000
 #: Shingles verified in one task at once, about.
@@ -104,11 +110,8 @@ def forest_recall(depth: int, tries: int, similarity: float, most: int, short: b
     return float((_chances(similarity, short)[: most + 1] * (1 - (1 - hit) ** tries)).sum())
 
 
-def forest_shape(
-    n: int, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, short: bool = False
-) -> tuple[int, int]:
-    """(depth, tries) for ``n`` texts; ``short`` texts need more tries."""
-    depth = min(60, max(0, math.floor(math.log2(max(n, 1) / leaf)))) if n > leaf else 0
+def _tries(depth: int, similarity: float, recall: float, short: bool) -> int:
+    """The fewest tries with which prefixes of ``depth`` bits reach the target recall."""
     most = most_bits(similarity, recall, short)
     high = 1
     while forest_recall(depth, high, similarity, most, short) < recall:
@@ -120,7 +123,22 @@ def forest_shape(
             low = middle
         else:
             high = middle
-    return depth, high
+    return high
+
+
+def forest_shape(
+    n: int, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, short: bool = False, most_tries: int = MOST_TRIES
+) -> tuple[int, int]:
+    """(depth, tries) for ``n`` texts: of the prefix that is climbed to from the one that their density asks for.
+
+    ``short`` texts have more tries at the same depth.
+    """
+    depth = min(60, max(0, math.floor(math.log2(max(n, 1) / leaf)))) if n > leaf else 0
+    while depth and (tries := _tries(depth, similarity, recall, False)) > most_tries:
+        depth -= 1
+    if short or not depth:
+        tries = _tries(depth, similarity, recall, short)
+    return depth, tries
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
@@ -513,19 +531,20 @@ def near_groups(
 
     rooted = nodes.join(classes, "node", "left").select("key", "doc_id", "n_docs", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
-    whole = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n_docs").alias("class_size"))
-    named = written(rooted.join(whole, "root").select("key", "n_docs", "class_id", "class_size"), "named")
-    # Texts of at least a thousandth of all rows are a thousand at most: broadcast; the others are shuffled.
-    hot = F.broadcast(named.filter(F.col("n_docs") * 1000 >= own.count()))
-    wordy = own.filter("n > 0").select("doc_id", "key")
-    found = wordy.join(hot, "key").unionByName(wordy.join(hot, "key", "left_anti").join(named, "key"))
+    whole = rooted.groupBy("root").agg(
+        F.min("doc_id").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("n_texts")
+    )
+    whole = written(whole, "whole")
+    named = join_hot(rooted, whole, "root", "n_texts", rooted.count())
+    named = written(named.select("key", "n_docs", "class_id", "class_size"), "named")
+    found = join_hot(own.filter("n > 0").select("doc_id", "key"), named, "key", "n_docs", own.count())
     alone = own.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that have an earlier row in their class."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    classes = near_groups(numbered, "__row", text)
-    dropped = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__row"))
-    return numbered.join(dropped, "__row", "left_anti").drop("__row")
+    row = fresh(docs, "__row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    dropped = near_groups(numbered, row, text).filter("doc_id <> class_id").select(F.col("doc_id").alias(row))
+    return numbered.join(dropped, row, "left_anti").drop(row)

@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from helpers import AWKWARD, empty, table, words
 
 from kvspark.llm.graph import components
 from kvspark.llm.lshforest import (
-    agreement, candidates, drop_near_copies, forest_shape, most_bits, near, near_groups, simhash,
+    MOST_TRIES, agreement, candidates, drop_near_copies, forest_recall, forest_shape, most_bits, near, near_groups, simhash,
 )
 from kvspark.llm.shingles import jaccard, shingle_sets
 
@@ -176,3 +178,32 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {3: 3, 7: 3, 9: 3, 200: 3}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_the_search_climbs_where_tries_run_out():
+    for n in (10**3, 10**5, 10**7, 10**9, 10**11):
+        depth, tries = forest_shape(n)
+        assert tries <= MOST_TRIES and forest_recall(depth, tries, 0.8, most_bits(0.8)) >= 0.99
+        assert depth <= max(0, np.log2(n / 512)) and forest_shape(n, short=True)[0] == depth
+    assert forest_shape(10**9)[0] < forest_shape(10**9, most_tries=10**6)[0]
+
+
+@pytest.mark.parametrize("common", [0, 165])
+def test_recall_of_default_parameters_over_many_texts(spark, common):
+    """Pairs at similarity 0.8 to 0.81 among 20,000 unrelated sets, and sets that share a template (0.7 to each other)."""
+    rng, n, size, pairs = np.random.default_rng(5), 20_000, 200, 600
+    template = rng.integers(0, 2**63, common).astype(np.uint64)
+    sets = [np.concatenate((template, rng.integers(0, 2**63, size - common).astype(np.uint64))) for _ in range(n)]
+    for i in range(pairs):
+        # 22 of 200 shingles differ: 178 / 222 = 0.802
+        sets[n - 1 - i] = np.concatenate((sets[i][22:], rng.integers(0, 2**63, 22).astype(np.uint64)))
+        assert jaccard(np.sort(sets[i]), np.sort(sets[n - 1 - i])) >= 0.8
+    words = np.array([simhash(np.sort(x)) for x in sets]).view(np.int64)
+    label = np.where(np.arange(n) >= n - pairs, np.arange(n), -1)
+    frame = spark.createDataFrame(
+        pd.DataFrame({"node": np.arange(n), "s1": words[:, 0], "s2": words[:, 1], "label": label}), "node long, s1 long, s2 long, label long"
+    )
+    depth, tries = forest_shape(n)
+    found = candidates(frame, depth, tries, most_bits(0.8), True).filter(f"a + b = {n - 1}").count()
+    print("recall", common, found / pairs)
+    assert found >= 0.95 * pairs
