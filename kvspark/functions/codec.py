@@ -27,25 +27,39 @@ LOG_BASE = 27
 PUT, FLUSH, DELETE, UPDATE = range(4)
 
 
+def _pieces(x: pd.Series, kind_: str) -> pd.Series:
+    """Each number as its bytes; null stays null."""
+    raw = x.to_numpy(kind_, na_value=0).tobytes()
+    size = np.dtype(kind_).itemsize
+    return pd.Series([raw[i : i + size] for i in range(0, len(raw), size)], index=x.index, dtype=object).where(x.notna(), None)
+
+
+def _numbers(x: pd.Series, kind_: str) -> pd.Series:
+    held = x.notna()
+    out = pd.Series(pd.NA, index=x.index, dtype="Float64")
+    out.loc[held] = np.frombuffer(b"".join(x[held]), kind_).astype("f8")
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def double_bytes(x: pd.Series) -> pd.Series:
     """Little-endian bytes of doubles."""
-    return pd.Series([None if pd.isna(v) else np.array(v, "<f8").tobytes() for v in x])
+    return _pieces(x, "<f8")
 
 
 @F.pandas_udf(T.BinaryType())
 def float_bytes(x: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else np.array(v, "<f4").tobytes() for v in x])
+    return _pieces(x, "<f4")
 
 
 @F.pandas_udf(T.DoubleType())
 def bytes_double(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else float(np.frombuffer(v, "<f8")[0]) for v in x], dtype="object").astype("Float64")
+    return _numbers(x, "<f8")
 
 
 @F.pandas_udf(T.DoubleType())
 def bytes_float(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else float(np.frombuffer(v, "<f4")[0]) for v in x], dtype="object").astype("Float64")
+    return _numbers(x, "<f4")
 
 
 def encode_value(x: Column, token: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def murmur3(text: Column, seed: int = 0) -> Column:
         def step(h: Column, i: Column) -> Column:
             mixed = h.bitwiseXOR(block(data, i))
             turned = _let(_let(mixed, lambda x: _rotated(x, 13)), lambda x: _times(x, 5))
-            return F.when(i + 4 <= n, unsigned32(turned + F.lit(0x6B64E654))).otherwise(mixed)
+            return F.when(i + 4 <= n, unsigned32(turned + F.lit(0xE6546B64))).otherwise(mixed)
 
         starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1, F.lit(4)))
         h = F.aggregate(starts, F.lit(seed & M32).cast("long"), step).bitwiseXOR(n.cast("long"))
@@ -148,14 +149,101 @@ def murmur3(text: Column, seed: int = 0) -> Column:
 
 
 CHECKSUM_SEED = 0xCAFEBABE
+_P1, _P2, _P3, _P4, _P5 = (np.uint32(p) for p in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint32(bits)) | (x >> np.uint32(32 - bits))
+
+
+def xxh32_rows(rows: np.ndarray, seed: int = CHECKSUM_SEED) -> np.ndarray:
+    """xxHash32 of every row of a matrix of bytes, one step for all rows at a time."""
+    n, size = rows.shape
+    seed32 = np.uint32(seed)
+    words = np.ascontiguousarray(rows[:, : size // 4 * 4]).view("<u4").reshape(n, size // 4)
+    with np.errstate(over="ignore"):
+        at = 0
+        if size >= 16:
+            lanes = [np.full(n, x, np.uint32) for x in (seed32 + _P1 + _P2, seed32 + _P2, seed32, seed32 - _P1)]
+            for at in range(0, size // 16 * 4, 4):
+                lanes = [_turned(v + words[:, at + i] * _P2, 13) * _P1 for i, v in enumerate(lanes)]
+            at += 4
+            h = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+        else:
+            h = np.full(n, seed32 + _P5, np.uint32)
+        h = h + np.uint32(size)
+        for i in range(at, size // 4):
+            h = _turned(h + words[:, i] * _P3, 17) * _P4
+        for i in range(size // 4 * 4, size):
+            h = _turned(h + rows[:, i].astype(np.uint32) * _P5, 11) * _P1
+        h = (h ^ (h >> np.uint32(15))) * _P2
+        h = (h ^ (h >> np.uint32(13))) * _P3
+        return h ^ (h >> np.uint32(16))
 
 
 @F.pandas_udf(T.LongType())
 def xxh32(data: pd.Series) -> pd.Series:
-    """xxHash32 of binary data with the record checksum's seed."""
-    import xxhash
+    """xxHash32 of binary data with the record checksum's seed; values of one length are hashed together."""
+    out = pd.Series(pd.NA, index=data.index, dtype="Int64")
+    sizes = data.map(len, na_action="ignore")
+    for size in sizes.dropna().unique():
+        own = data[sizes == size]
+        rows = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), int(size))
+        out.loc[own.index] = xxh32_rows(rows).astype(np.int64)
+    return out
 
-    return data.map(lambda b: None if b is None else xxhash.xxh32_intdigest(b, seed=CHECKSUM_SEED))
+
+# The filters' hashes once more in numpy, for files that are read and written outside of Spark's expressions.
+
+
+def _signed32(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64).astype(np.uint32).astype(np.int32).astype(np.int64)
+
+
+def _double_times(x: np.ndarray, factor: int) -> np.ndarray:
+    return (x.astype(np.float64) * float(factor)).astype(np.int64)
+
+
+def _folded(x: np.ndarray, bits: int) -> np.ndarray:
+    low = x.astype(np.uint32)
+    return _signed32(x) ^ (low >> np.uint32(bits)).astype(np.int64)
+
+
+def _murmur3_bytes(data: bytes, seed: int) -> int:
+    def mixed(k: int) -> int:
+        k = k * 0xCC9E2D51 & M32
+        return (k << 15 | k >> 17) * 0x1B873593 & M32
+
+    h, whole = seed & M32, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h ^= mixed(int.from_bytes(data[i : i + 4], "little"))
+        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & M32
+    if whole < len(data):
+        h ^= mixed(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & M32
+    h = (h ^ h >> 13) * 0xC2B2AE35 & M32
+    return h ^ h >> 16
+
+
+def hash_keys(keys: np.ndarray, token: str, seed: int) -> np.ndarray:
+    """The hash of ``hash_for(token)`` of an array of integers, or of byte strings for ``str``."""
+    if token.startswith("str:"):
+        return np.array([_murmur3_bytes(k, seed) for k in keys.tolist()], dtype=np.int64)
+    if token in ("i64", "u64"):
+        bits = keys.astype(np.uint64) if token == "u64" else keys.astype(np.int64).view(np.uint64)
+        low = (bits & np.uint64(M32)).astype(np.int64)
+        x = _signed32(low ^ (seed & M32))
+        x = _double_times(_folded(x, 16), 0x85EBCA6B)
+        x = _signed32(x) ^ _signed32((bits >> np.uint64(32)).astype(np.int64))
+        x = _double_times(_folded(x, 13), 0xC2B2AE35)
+        return _folded(x, 16).astype(np.uint32).astype(np.int64)
+    x = (_signed32(keys) ^ _s32(seed)) + _s32(seed << 13)
+    for _ in range(2):
+        x = _signed32(x)
+        x = _double_times((x >> 16) ^ x, 73244475)
+    x = _signed32(x)
+    return (x >> 16) ^ x
 
 
 Hash = Callable[[Column, int], Column]

@@ -89,6 +89,83 @@ def unpacked(words: DataFrame, by: list[str] | None = None) -> DataFrame:
     return at.filter(F.getbit("mask", F.col("b")) == 1).select(*(by or []), (F.col("word") * 63 + F.col("b")).alias("bit"))
 
 
+#: Words of 63 bits in a row of a stored filter.
+BLOCK_WORDS = 4096
+#: Bits of all filters together up to which a probe broadcasts them (8 MB); beyond, they are joined by shuffle.
+BROADCAST_BITS = 64_000_000
+
+
+def stored(filters: DataFrame, bits: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., block, words): a filter (by..., bit) of ``bits`` bits for storage, ``BLOCK_WORDS`` words of 63 bits to a row."""
+    by = by or []
+    n_words = -(-modulus(bits) // 63)
+    words = packed(filters, by)
+    # Every word is there, so a bit's place in its row follows from its number.
+    if by:
+        last = F.lit(n_words - 1).cast("long")
+        blank = filters.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("word"))
+    else:
+        blank = filters.sparkSession.range(n_words).withColumnRenamed("id", "word")
+    blank = blank.withColumn("mask", F.lit(0).cast("long"))
+    dense = words.unionByName(blank).groupBy(*by, "word").agg(F.bit_or("mask").alias("mask"))
+    block = F.floor(F.col("word") / BLOCK_WORDS).cast("long").alias("block")
+    rows = dense.groupBy(*by, block).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("w"))
+    return rows.select(*by, "block", F.transform("w", lambda x: x["mask"]).alias("words"))
+
+
+def probe(
+    filters: DataFrame, sizes: dict, probes: DataFrame, token: str, custom: str | None = None
+) -> DataFrame:
+    """(key, run_id) of every distinct probe (key) and every stored filter (run_id, block, words) that may hold it.
+
+    ``sizes`` has (bits, hashes) by run_id: a bounded number of runs, each with filters of its own size. Filters whose
+    size is within ``BROADCAST_BITS`` are broadcast and a probe is one expression; larger ones are joined by block.
+    """
+    span = 63 * BLOCK_WORDS
+    asked = probes.select("key").distinct()
+    if not sizes:
+        return asked.withColumn("run_id", F.lit(None).cast("string")).limit(0)
+    places = [
+        F.struct(F.lit(run).alias("run_id"), F.array_distinct(positions(F.col("key"), token, modulus(bits), k, custom)).alias("at"))
+        for run, (bits, k) in sizes.items()
+    ]
+    at = asked.select("key", F.explode(F.array(*places)).alias("p")).select("key", "p.run_id", "p.at")
+    single = all(modulus(bits) <= span for bits, _ in sizes.values())
+    if single:
+        at = at.withColumn("block", F.lit(0).cast("long"))
+    else:
+        at = at.withColumn("need", F.size("at")).withColumn("at", F.explode("at"))
+        at = at.withColumn("block", F.floor(F.col("at") / span).cast("long")).withColumn("at", F.array("at"))
+    small = sum(bits for bits, _ in sizes.values()) <= BROADCAST_BITS
+    hit = at.join(F.broadcast(filters) if small else filters, ["run_id", "block"])
+    is_set = lambda p: F.getbit(F.get("words", (F.floor(p / 63) % BLOCK_WORDS).cast("int")), (p % 63).cast("int")) == 1
+    hit = hit.filter(F.forall("at", is_set))
+    if not single:
+        hit = hit.groupBy("key", "run_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n = need")
+    return hit.select("key", "run_id")
+
+
+def bytes_of(filters: DataFrame, bits: int) -> DataFrame:
+    """(byte, value): the bytes of a filter (bit), bit 0 the lowest of byte 0, zeros included."""
+    zeros = filters.sparkSession.range(modulus(bits) // 8).select(F.col("id").alias("byte"), F.lit(0).alias("value"))
+    one = F.expr("shiftleft(1, CAST(bit % 8 AS INT))").alias("value")
+    return zeros.unionByName(filters.select(F.floor(F.col("bit") / 8).cast("long").alias("byte"), one)).groupBy("byte").agg(F.bit_or("value").alias("value"))
+
+
+def to_text(filters: DataFrame, bits: int) -> DataFrame:
+    """(block, text): the bytes as comma-separated numbers, ``BLOCK_WORDS`` of them to a row."""
+    rows = bytes_of(filters, bits).groupBy(F.floor(F.col("byte") / BLOCK_WORDS).cast("long").alias("block"))
+    in_order = F.sort_array(F.collect_list(F.struct("byte", "value")))
+    return rows.agg(F.array_join(F.transform(in_order, lambda x: x["value"].cast("string")), ",").alias("text"))
+
+
+def from_text(texts: DataFrame) -> DataFrame:
+    """The set bits of what :func:`to_text` wrote."""
+    value = texts.select("block", F.posexplode(F.split("text", ",")).alias("i", "value"))
+    bit = value.select((F.col("block") * BLOCK_WORDS + F.col("i")).alias("byte"), F.col("value").cast("int").alias("value"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
+    return bit.filter(F.getbit("value", F.col("b")) == 1).select((F.col("byte") * 8 + F.col("b")).alias("bit"))
+
+
 def parquet_options(column: str, n: int) -> dict[str, str]:
     """Writer options for Parquet's own filter on a column: what prunes files in production."""
     return {f"parquet.bloom.filter.enabled#{column}": "true", f"parquet.bloom.filter.expected.ndv#{column}": str(n)}

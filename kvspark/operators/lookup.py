@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kvspark.operators.oplog import numbered
 
+
 def get(state: DataFrame, key) -> DataFrame:
     """The live row of one key; the equality reaches the scan."""
     found = state.filter(F.col("key") == F.lit(key))
@@ -38,11 +39,40 @@ def has_not(state: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(state.select("key"), "key", "left_anti")
 
 
+#: Records among which a position is found by sorting, at most; cuts per round on the way there.
+SORTED, CUTS = 100_000, 32
+
+
 def read_n(run: DataFrame, n: int) -> DataFrame:
-    """The n-th record in key order from 0; negative counts from the end. None where there are fewer."""
-    at = numbered(run, "key")
-    k = n + 1 if n >= 0 else at.count() + n + 1
-    return at.filter(F.col("rn") == k).drop("rn")
+    """The n-th record in key order from 0; negative counts from the end. None where there are fewer.
+
+    Keys drawn by their hash cut the run into ranges, whose records are counted; only the range that holds the position
+    goes on, and is cut again until it is small enough to sort. So records are counted where they are and never shuffled.
+    """
+    total = run.count()
+    at = n if n >= 0 else total + n
+    if not 0 <= at < total:
+        return run.limit(0)
+    inside, left = run, total
+    while left > SORTED:
+        drawn = inside.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(CUTS * CUTS).collect()
+        cuts = sorted(r["key"] for r in drawn)[CUTS // 2 :: CUTS]
+        kind = inside.schema["key"].dataType
+        edges = F.array(*[F.lit(c).cast(kind) for c in cuts])
+        bucket = F.size(F.filter(edges, lambda c: c <= F.col("key")))
+        counts = {r["b"]: r["n"] for r in inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for b in sorted(counts):
+            if at < counts[b]:
+                break
+            at -= counts[b]
+        if counts[b] == left:
+            break
+        if b > 0:
+            inside = inside.filter(F.col("key") >= F.lit(cuts[b - 1]).cast(kind))
+        if b < len(cuts):
+            inside = inside.filter(F.col("key") < F.lit(cuts[b]).cast(kind))
+        left = counts[b]
+    return inside.orderBy("key").offset(at).limit(1)
 
 
 def read_all(run: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def model_murmur(data, seed):
     rot = lambda x, r: (x << r | x >> 32 - r) & M
     for i in range(0, len(data) // 4 * 4, 4):
         k = rot(int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & M, 15) * 0x1B873593 & M
-        h = (rot(h ^ k, 13) * 5 + 0x6B64E654) & M
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & M
     if tail := data[len(data) // 4 * 4 :]:
         h ^= rot(int.from_bytes(tail, "little") * 0xCC9E2D51 & M, 15) * 0x1B873593 & M
     h ^= len(data)
@@ -193,6 +194,36 @@ def test_text_hashes(spark):
         assert r.f == h
 
 
+def test_published_murmur3_values(spark):
+    known = {("", 0): 0, ("", 1): 0x514E28B7, ("test", 0): 0xBA6BD213, ("hello", 0): 0x248BFA47, ("Hello, world!", 0): 0xC0363E43,
+             ("The quick brown fox jumps over the lazy dog", 0): 0x2E4FF723}
+    for (text, seed), h in known.items():
+        assert spark.range(1).select(hashes.murmur3(F.lit(text), seed).alias("h")).first().h == h
+        assert hashes.hash_keys(np.array([text.encode()], dtype=object), "str:64", seed).tolist() == [h]
+
+
+@pytest.mark.parametrize("token", ["u32", "i32", "u64", "i64", "str:18"])
+def test_hashes_of_files_are_those_of_columns(spark, token):
+    rng = random.Random(4)
+    k = kind(token)
+    values = [f"{rng.randrange(10**18):018d}"[: rng.randrange(19)] for _ in range(300)] if token.startswith("str") else [k.low, k.high, 0, 1, *(rng.randint(k.low, k.high) for _ in range(300))]
+    kept = [Decimal(v) if token == "u64" else v for v in values]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(kept)], f"i int, k {k.spark.simpleString()}")
+    own = np.array([v.encode() for v in values], dtype=object) if token.startswith("str") else np.array(values, dtype="u8" if token == "u64" else "i8")
+    for seed in bloom.seeds(2):
+        column = hashes.long_bits(F.col("k")) if token == "u64" else F.col("k")
+        got = [r.h for r in df.select("i", hashes.hash_for(token)(column, seed).alias("h")).orderBy("i").collect()]
+        assert got == hashes.hash_keys(own, token, seed).tolist()
+
+
+def test_checksums_of_every_length():
+    xxhash = pytest.importorskip("xxhash")
+    rng = np.random.default_rng(0)
+    for size in (0, 1, 3, 4, 7, 8, 12, 15, 16, 17, 31, 32, 33, 100, 255):
+        rows = rng.integers(0, 256, (5, size), dtype=np.uint8)
+        assert hashes.xxh32_rows(rows).tolist() == [xxhash.xxh32_intdigest(r.tobytes(), 0xCAFEBABE) for r in rows]
+
+
 def test_checksum_and_custom_hash(spark):
     xxhash = pytest.importorskip("xxhash")
     df = spark.createDataFrame([(b"abc",), (b"",), (None,)], "b binary")
@@ -225,6 +256,24 @@ def test_filters_have_no_false_negatives(spark, token, sql):
     assert sorted(r.bit for r in back.collect()) == sorted(r.bit for r in filters.collect())
 
 
+@pytest.mark.parametrize("n", [1, 5000, 90_000])
+def test_stored_filters(spark, n):
+    """Of one block and of several, by broadcast and by join, against the filter of bits."""
+    keys, asked = spark.range(n).withColumnRenamed("id", "key"), spark.range(n // 2, n + 3000).withColumnRenamed("id", "key")
+    bits, k = bloom.sizing(n, 0.2)
+    built = bloom.build(keys, "i64", bits, k)
+    filters = bloom.stored(built, bits).withColumn("run_id", F.lit("r"))
+    assert filters.count() == -(-bloom.modulus(bits) // (63 * bloom.BLOCK_WORDS))
+    want = sorted(r.key for r in bloom.lookup(built, asked, "i64", bits, k).filter("maybe").collect())
+    for most in (bloom.BROADCAST_BITS, 0):
+        before, bloom.BROADCAST_BITS = bloom.BROADCAST_BITS, most
+        try:
+            assert sorted(r.key for r in bloom.probe(filters, {"r": (bits, k)}, asked, "i64").collect()) == want
+        finally:
+            bloom.BROADCAST_BITS = before
+    assert bloom.probe(filters, {}, asked, "i64").collect() == []
+
+
 def test_zero_and_one_are_different_bits(spark):
     keys = spark.createDataFrame([(0,), (1,)], "key long")
     only = bloom.build(keys.filter("key = 0"), "u32", 1000, 1)
@@ -288,6 +337,28 @@ def test_records(spark):
     assert (got.key, got.value, got.ts_ms, got.deleted) == (7, None, 1.0, True)
 
 
+def test_positions_in_large_runs(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "SORTED", 50)
+    rng = random.Random(6)
+    for keys in ([rng.randrange(10**9) for _ in range(3000)], [7] * 400 + [3] * 100, [f"k{rng.randrange(900):04d}" for _ in range(1000)]):
+        run = spark.createDataFrame([(k,) for k in keys], "key string" if isinstance(keys[0], str) else "key long")
+        for n in (0, 1, 250, 499, -1, -400):
+            assert lookup.read_n(run, n).first().key == sorted(keys)[n]
+        assert lookup.read_n(run, len(keys)).collect() == [] and lookup.read_n(run, -len(keys) - 1).collect() == []
+
+
+def test_cache_of_the_driver():
+    own = cache.Lru(2)
+    own.set("a", 1), own.set("b", 2)
+    assert own.get("a") == 1
+    own.set("c", 3)
+    assert own.keys() == ["c", "a"] and not own.has("b") and own.values() == [3, 1] and own.size == 2
+    assert own.delete("c") and not own.delete("c") and own.find(lambda v: v < 2) == 1 and own.find(lambda v: v > 2) is None
+    assert own.map(lambda k, v: (k, v + 1)) == [("a", 2)]
+    own.clear()
+    assert own.size == 0 and own.get("a") is None
+
+
 def test_cache_contents(spark):
     rows = log(spark, (1, 1.0, 0, 0), (2, 2.0, 0, 1), (1, 3.0, 0, 2), (3, 4.0, 0, 3))
     assert [(r.key, r.value) for r in cache.recent(rows, 2).collect()] == [(3, 4.0), (1, 3.0)]
