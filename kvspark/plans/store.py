@@ -1,24 +1,38 @@
 """Database, tables and columns over operation logs in a shared folder.
 
-A column is a folder of versions; a small file names the current one and is
-swapped atomically, so clearing, compacting and restoring never touch what a
-reader may be reading. A version is a Parquet log, appended to.
+A column is a set of immutable Parquet folders named by a manifest, a small file
+that is swapped atomically:
+
+* segments, the write-ahead log: one per append, and together the memtable;
+* runs, at levels: what a flush or a compaction wrote, sorted by key, one version
+  per key, each with a stored filter of its keys.
+
+An append adds a segment. Once the segments hold ``memtable`` records (an upper bound
+of their distinct keys) they are flushed to a run at level 0; a level of ``growth`` runs is
+merged to one run at the next level, and the last level drops tombstones. Whatever
+changes the manifest does so under the column's lock, from the manifest of that moment:
+an append during a compaction stays, and a compaction whose inputs have gone gives
+up. Folders that the manifest no longer names stay for readers until ``vacuum``.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvspark.functions.types import kind
 from kvspark.operators import bloom, lookup, oplog
-from kvspark.operators.runs import log_stats, record_bytes
+from kvspark.operators.cache import Lru
+from kvspark.operators.runs import HEADER, log_stats, record_bytes
 
 
 class StoreError(Exception):
@@ -28,8 +42,15 @@ class StoreError(Exception):
         super().__init__(f"[{where}]: {message}")
 
 
+#: Segments after which a flush is due however few records they hold.
+MOST_SEGMENTS = 64
+
+
 @dataclass(frozen=True)
 class ColumnOptions:
+    """``memtable``: records that are flushed together; ``cache``: keys kept in the driver after reads and single writes;
+    ``levels`` and ``growth``: see above; ``run_records`` times ``growth`` is the most a file of a merged run holds."""
+
     name: str
     key_type: str = "u32"
     value_type: str = "u32"
@@ -91,6 +112,75 @@ class _Files:
         where, fs = self._at(path)
         fs.delete(where, True)
 
+    def create(self, path: str) -> bool:
+        """Make an empty file; False where it is already there."""
+        where, fs = self._at(path)
+        fs.mkdirs(where.getParent())
+        try:
+            fs.create(where, False).close()
+        except Exception as e:  # the file system's own error, as the JVM raises it
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        return True
+
+    def folders(self, path: str) -> list[tuple[str, float]]:
+        """(name, seconds since it was last changed) of what is in a folder."""
+        where, fs = self._at(path)
+        now = time.time()
+        return [(x.getPath().getName(), now - x.getModificationTime() / 1000) for x in fs.listStatus(where)] if fs.exists(where) else []
+
+    def age(self, path: str) -> float | None:
+        """Seconds since a file was last changed; None without it."""
+        where, fs = self._at(path)
+        try:
+            return time.time() - fs.getFileStatus(where).getModificationTime() / 1000
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return None
+            raise
+
+
+class Mutex:
+    """A lock between threads and, by a file in a shared folder, between processes.
+
+    It is held for the swap of a manifest only. A file older than ``stale`` seconds was left by a process that died.
+    """
+
+    def __init__(self, files: _Files, path: Callable[[], str], timeout: float = 120, stale: float = 60) -> None:
+        self.files, self.path, self.timeout, self.stale = files, path, timeout, stale
+        self._threads = threading.Lock()
+
+    @property
+    def is_locked(self) -> bool:
+        return self._threads.locked() or self.files.exists(self.path())
+
+    def lock(self) -> None:
+        until = time.monotonic() + self.timeout
+        if not self._threads.acquire(timeout=self.timeout):
+            raise StoreError("Mutex#lock", f"{self.path()} is held by another thread")
+        while not self.files.create(self.path()):
+            age = self.files.age(self.path())
+            if age is not None and age > self.stale:
+                self.files.remove(self.path())
+            elif time.monotonic() > until:
+                self._threads.release()
+                raise StoreError("Mutex#lock", f"{self.path()} is held by another process")
+            else:
+                time.sleep(0.02)
+
+    def unlock(self) -> None:
+        self.files.remove(self.path())
+        self._threads.release()
+
+    @contextmanager
+    def held(self) -> Iterator[None]:
+        self.lock()
+        try:
+            yield
+        finally:
+            self.unlock()
+
 
 class Column:
     """One versioned map from key to value."""
@@ -99,15 +189,27 @@ class Column:
         if not kind(options.key_type).is_key:
             raise StoreError("Column", f"{options.key_type} can't be a key type")
         self.options, self.table = options, table
+        self.mutex = Mutex(table.database.files, lambda: f"{self.path}/LOCK")
+        self.cache = Lru(options.cache)
+        self._seen = self._path = None
         self._seq = 0
 
     @property
     def spark(self) -> SparkSession:
         return self.table.database.spark
 
+    @property
+    def files(self) -> _Files:
+        return self.table.database.files
+
     @property
     def path(self) -> str:
-        return f"{self.table.path}/{self.options.name}"
+        return self._path or f"{self.table.path}/{self.options.name}"
+
+    def set_path(self, path: str) -> None:
+        """Move on to another folder; ``init`` opens it."""
+        self._path = path.rstrip("/")
+        self.cache.clear()
 
     @property
     def schema(self) -> T.StructType:
@@ -118,32 +220,175 @@ class Column:
         )
 
     def init(self) -> Column:
-        if not self.table.database.files.exists(f"{self.path}/CURRENT"):
-            self._swap(self.spark.createDataFrame([], self.schema))
+        if not self.files.exists(f"{self.path}/CURRENT"):
+            with self.mutex.held():
+                if not self.files.exists(f"{self.path}/CURRENT"):
+                    self.files.put(f"{self.path}/CURRENT", json.dumps({"version": 0, "segments": [], "runs": []}))
         self._seq = time.time_ns()
+        self._seen = None
         return self
 
     def close(self) -> None:
-        """Logs are durable when a write returns; nothing is held open."""
+        """Segments are durable when a write returns, so there is nothing to flush; the cache goes."""
+        self.cache.clear()
+
+    # --- manifest ---
+
+    def manifest(self) -> dict:
+        """{version, segments: [{path, n}], runs: [{path, level, n, bits, hashes}]}"""
+        return json.loads(self.files.text(f"{self.path}/CURRENT"))
 
     @property
-    def version(self) -> str:
-        return self.table.database.files.text(f"{self.path}/CURRENT")
+    def version(self) -> int:
+        return self.manifest()["version"]
+
+    def _commit(self, change: Callable[[dict], None]) -> dict:
+        """Apply ``change`` to the manifest of this moment; what it raises leaves all as it was."""
+        with self.mutex.held():
+            now = self.manifest()
+            change(now)
+            now["version"] += 1
+            self.files.put(f"{self.path}/CURRENT", json.dumps(now))
+        return now
+
+    def _read(self, parts: list[dict]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{p['path']}" for p in parts])
+
+    def _written(self, records: DataFrame, name: str, **options) -> dict:
+        """``records`` as a folder of the column; {path, n, seq}."""
+        seen = Observation()
+        counted = records.select(*self.schema.fieldNames()).observe(seen, F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))
+        path = f"{name}-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        counted.write.options(**bloom.parquet_options("key", self.options.run_records), **options).parquet(f"{self.path}/{path}")
+        return {"path": path, **seen.get}
+
+    def _run(self, records: DataFrame, level: int, **options) -> dict:
+        """``records`` (one version per key) as a run with its stored filter."""
+        run = self._written(records.repartitionByRange("key").sortWithinPartitions("key"), "run", **options)
+        bits, hashes = bloom.sizing(max(1, run["n"]), self.options.error_rate)
+        hashes = max(hashes, 1)
+        keys = self._read([run]).select("key")
+        filters = bloom.stored(bloom.build(keys, self.options.key_type, bits, hashes, custom=self.options.custom_hash), bits)
+        filters.withColumn("run_id", F.lit(run["path"])).write.parquet(f"{self.path}/{run['path']}.filter")
+        return {"path": run["path"], "n": run["n"], "level": level, "bits": bits, "hashes": hashes}
+
+    def _replace(self, segments: list[dict], runs: list[dict], new: Callable[[], list[dict]]) -> bool:
+        """Put runs in the place of segments and runs; False, and nothing changed, if one of them has gone meanwhile."""
+        made = new()
+        gone = {p["path"] for p in (*segments, *runs)}
+
+        def change(m: dict) -> None:
+            if not gone <= {p["path"] for p in (*m["segments"], *m["runs"])}:
+                raise _Conflict
+            m["segments"] = [p for p in m["segments"] if p["path"] not in gone]
+            m["runs"] = [p for p in m["runs"] if p["path"] not in gone] + [r for r in made if r["n"]]
+
+        try:
+            self._commit(change)
+        except _Conflict:
+            return False
+        return True
 
-    def _swap(self, log: DataFrame) -> None:
-        version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        log.write.options(**bloom.parquet_options("key", self.options.run_records)).parquet(f"{self.path}/{version}")
-        self.table.database.files.put(f"{self.path}/CURRENT", version)
+    # --- segments, memtable, runs ---
 
     def log(self) -> DataFrame:
         """All records of the column."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.version}")
+        m = self.manifest()
+        return self._read(m["segments"] + m["runs"])
+
+    def read_logs(self) -> DataFrame:
+        """Records that aren't flushed yet, in the order of their writing."""
+        return self._read(self.manifest()["segments"]).orderBy("ts", "seq")
+
+    def memtable(self) -> DataFrame:
+        """What replaying the segments gives: the newest version of every key that isn't flushed yet."""
+        return oplog.fold(self._read(self.manifest()["segments"]))
 
     def state(self) -> DataFrame:
         return oplog.live(self.log())
 
-    def _append(self, records: DataFrame) -> None:
-        records.select(*self.schema.fieldNames()).write.mode("append").parquet(f"{self.path}/{self.version}")
+    def runs(self) -> DataFrame:
+        """(level, run_id, records, bits, hashes, file_size, pages) of every run; there are a bounded number."""
+        size, per_page = record_bytes(self.options.key_type, self.options.value_type), self.options.page_records
+        rows = [
+            (r["level"], r["path"], r["n"], r["bits"], r["hashes"], HEADER + r["n"] * size, -(-r["n"] // per_page))
+            for r in self.manifest()["runs"]
+        ]
+        return self.spark.createDataFrame(
+            rows, "level int, run_id string, records long, bits long, hashes int, file_size long, pages long"
+        )
+
+    def _append(self, records: DataFrame) -> int:
+        """A new segment; its number of records."""
+        own = self._written(records, "log")
+        self._seq = max(self._seq, own["seq"] or 0)
+        if own["n"]:
+            m = self._commit(lambda m: m["segments"].append({"path": own["path"], "n": own["n"]}))
+            if self._seen == m["version"] - 1:
+                self._seen = m["version"]
+            if sum(p["n"] for p in m["segments"]) >= self.options.memtable or len(m["segments"]) >= MOST_SEGMENTS:
+                self.flush()
+        return own["n"]
+
+    def flush(self) -> bool:
+        """The segments of this moment as a run at level 0, then compaction where due; False if there was nothing to do."""
+        segments = self.manifest()["segments"]
+        done = bool(segments) and self._replace(segments, [], lambda: [self._run(oplog.fold(self._read(segments)), 0)])
+        if done:
+            self.compact_due()
+        return done
+
+    def truncate_log(self) -> None:
+        """Forget what isn't flushed yet."""
+
+        def change(m: dict) -> None:
+            m["segments"] = []
+
+        self._commit(change)
+        self.cache.clear()
+
+    def due_levels(self) -> list[int]:
+        """Levels that hold ``growth`` runs or more, the last level included."""
+        levels = [r["level"] for r in self.manifest()["runs"]]
+        return sorted(k for k in set(levels) if levels.count(k) >= self.options.growth)
+
+    def compact_due(self) -> None:
+        """Merge levels that are due, from the first one on."""
+        while due := self.due_levels():
+            if not self.compact_level(due[0]):
+                return
+
+    def compact_level(self, level: int) -> bool:
+        """All runs of a level as one at the next; the last level in place, without tombstones."""
+        own = [r for r in self.manifest()["runs"] if r["level"] == level]
+        last = level >= self.options.levels - 1
+
+        def merged() -> list[dict]:
+            newest = oplog.fold(self._read(own))
+            most = self.options.run_records * self.options.growth
+            return [self._run(newest.filter("NOT deleted") if last else newest, level if last else level + 1, maxRecordsPerFile=most)]
+
+        return bool(own) and self._replace([], own, merged)
+
+    def compact(self) -> bool:
+        """Everything as one run of live keys at the last level; False if something of it has gone meanwhile."""
+        m = self.manifest()
+        everything = m["segments"] + m["runs"]
+        merged = lambda: [self._run(oplog.live(self._read(everything)), self.options.levels - 1)]
+        return self._replace(m["segments"], m["runs"], merged)
+
+    def vacuum(self, older_than: float = 3600) -> int:
+        """Remove folders that the manifest doesn't name, unchanged for ``older_than`` seconds; how many."""
+        m = self.manifest()
+        named = {p["path"] for p in m["segments"] + m["runs"]} | {r["path"] + ".filter" for r in m["runs"]}
+        old = [n for n, age in self.files.folders(self.path) if n.startswith(("log-", "run-")) and n not in named and age >= older_than]
+        for name in old:
+            self.files.remove(f"{self.path}/{name}")
+        return len(old)
+
+    # --- writes ---
 
     def _next(self, n: int) -> int:
         """First of ``n`` sequence numbers, above all that this process gave before."""
@@ -172,9 +417,12 @@ class Column:
         rows = self._checked(rows)
         first = self._next(len(rows))
         now = time.time()
-        data = [(k, v, None, first + i, False) for i, (k, v) in enumerate(rows)]
-        df = self.spark.createDataFrame([self._typed(r) for r in data], self.schema)
+        data = [self._typed((k, v, None, first + i, False)) for i, (k, v) in enumerate(rows)]
+        self._forget_others()
+        df = self.spark.createDataFrame(data, self.schema)
         self._append(df.withColumn("ts", F.timestamp_micros(F.lit(int(now * 1e6)))))
+        for key, _ in rows:
+            self.cache.delete(key)
 
     def _typed(self, r: tuple) -> tuple:
         from decimal import Decimal
@@ -183,25 +431,95 @@ class Column:
         return (cast(r[0], self.options.key_type), cast(r[1], self.options.value_type), *r[2:])
 
     def insert_frame(self, frame: DataFrame) -> None:
-        """Put the rows (key, value) of a DataFrame in one distributed append; keys must be distinct."""
+        """Put the rows (key, value) of a DataFrame in one distributed append; of rows that repeat a key, the last one wins."""
         first = self._next(1)
         self._append(
             frame.select(
                 F.col("key").cast(self.schema["key"].dataType), F.col("value").cast(self.schema["value"].dataType),
-                F.current_timestamp().alias("ts"), F.lit(first).alias("seq"), F.lit(False).alias("deleted"),
+                F.current_timestamp().alias("ts"), (F.lit(first) + F.monotonically_increasing_id()).alias("seq"),
+                F.lit(False).alias("deleted"),
             )
         )
+        self.cache.clear()
+
+    def delete(self, key) -> bool:
+        """Write a tombstone; False and nothing written where no key was ever put."""
+        done = self.delete_keys(self._probe(key))
+        self.cache.delete(key)
+        return done
+
+    def delete_keys(self, probes: DataFrame) -> bool:
+        """Tombstones for the keys that were put: filters leave out most that were not, and runs that can't hold any."""
+        m = self.manifest()
+        maybe = self._maybe(m, probes)
+        held = [r["run_id"] for r in maybe.select("run_id").distinct().collect()] if m["runs"] else []
+        log = self._read(m["segments"] + [r for r in m["runs"] if r["path"] in held])
+        gone = oplog.delete_keys(log, probes, F.current_timestamp(), F.lit(self._next(1)))
+        n = self._append(gone)
+        self.cache.clear()
+        return n > 0
+
+    def clear(self) -> None:
+        def change(m: dict) -> None:
+            m["segments"], m["runs"] = [], []
+
+        self._commit(change)
+        self.cache.clear()
+
+    def restore(self, records: DataFrame) -> None:
+        """Make ``records`` all that the column has."""
+        run = self._run(oplog.fold(records), self.options.levels - 1)
+
+        def change(m: dict) -> None:
+            m["segments"], m["runs"] = [], [run] if run["n"] else []
+
+        self._commit(change)
+        self.cache.clear()
+
+    # --- reads ---
+
+    def _probe(self, key) -> DataFrame:
+        return self.spark.createDataFrame([(self._typed((key, None))[0],)], T.StructType([self.schema["key"]]))
 
     def _literal(self, key):
         return F.lit(self._typed((key, None))[0]).cast(self.schema["key"].dataType)
 
+    def _forget_others(self) -> dict:
+        """The manifest; the cache goes where another process has changed it."""
+        m = self.manifest()
+        if m["version"] != self._seen:
+            self.cache.clear()
+            self._seen = m["version"]
+        return m
+
+    def _maybe(self, m: dict, probes: DataFrame) -> DataFrame:
+        """(key, run_id) of the runs whose stored filter may hold a probe."""
+        sizes = {r["path"]: (r["bits"], r["hashes"]) for r in m["runs"]}
+        filters = self.spark.createDataFrame([], "block long, words array<bigint>, run_id string")
+        if sizes:
+            filters = self.spark.read.schema(filters.schema).parquet(*[f"{self.path}/{run}.filter" for run in sizes])
+        return bloom.probe(filters, sizes, probes, self.options.key_type, self.options.custom_hash)
+
     def get(self, key) -> Row | None:
-        """The newest live version; the key reaches the scan of the log before the fold."""
-        return oplog.live(self.log().filter(F.col("key") == self._literal(key))).first()
+        """The newest live version: from the cache, else from the segments and the runs whose filters may hold the key."""
+        m = self._forget_others()
+        if (found := self.cache.get(key)) is not None:
+            return found
+        newest = self._newest(m, key)
+        if newest is None or newest["deleted"]:
+            return None
+        self.cache.set(key, newest)
+        return newest
+
+    def _newest(self, m: dict, key) -> Row | None:
+        held = {r["run_id"] for r in self._maybe(m, self._probe(key)).collect()} if m["runs"] else set()
+        parts = m["segments"] + [r for r in m["runs"] if r["path"] in held]
+        # The key reaches the scan before the fold.
+        return oplog.fold(self._read(parts).filter(F.col("key") == self._literal(key))).first() if parts else None
 
     def get_versioned(self, key) -> Row | None:
         """The newest version, tombstone or not."""
-        return oplog.fold(self.log().filter(F.col("key") == self._literal(key))).first()
+        return self._newest(self.manifest(), key)
 
     def has(self, key) -> bool:
         return self.get(key) is not None
@@ -209,55 +527,67 @@ class Column:
     def multi_get(self, probes: DataFrame) -> DataFrame:
         return lookup.multi_get(self.state(), probes)
 
-    def may_have(self, key) -> bool:
-        """Probabilistic membership over every key ever written: no false negatives."""
-        log = self.log()
-        bits, k = bloom.sizing(max(1, log.count()), self.options.error_rate)
-        token, custom = self.options.key_type, self.options.custom_hash
-        filters = bloom.build(log.select("key"), token, bits, max(k, 1), custom=custom)
-        probe = self.spark.createDataFrame([(self._typed((key, None))[0],)], T.StructType([self.schema["key"]]))
-        return bool(bloom.lookup(filters, probe, token, bits, max(k, 1), custom).first()["maybe"])
-
-    def delete(self, key) -> bool:
-        """Write a tombstone; False and nothing written where no key was ever put."""
-        probe = self.spark.createDataFrame([(self._typed((key, None))[0],)], T.StructType([self.schema["key"]]))
-        return self.delete_keys(probe)
+    def has_many(self, probes: DataFrame) -> DataFrame:
+        """The probes (key) that are live."""
+        return lookup.has(self.state(), probes)
 
-    def delete_keys(self, probes: DataFrame) -> bool:
-        gone = oplog.delete_keys(self.log(), probes, F.current_timestamp(), F.lit(self._next(1))).persist()
-        try:
-            if gone.isEmpty():
-                return False
-            self._append(gone)
+    def may_have(self, key) -> bool:
+        """Probabilistic membership over the keys of the segments and runs: no false negatives."""
+        m = self._forget_others()
+        if self.cache.has(key):
             return True
-        finally:
-            gone.unpersist()
-
-    def clear(self) -> None:
-        self._swap(oplog.cleared(self.log()))
+        if not self._read(m["segments"]).filter(F.col("key") == self._literal(key)).isEmpty():
+            return True
+        return bool(m["runs"]) and not self._maybe(m, self._probe(key)).isEmpty()
 
-    def compact(self) -> None:
-        """Replace the log by its live state, sorted by key."""
-        self._swap(self.state().repartitionByRange("key").sortWithinPartitions("key"))
+    def may_have_many(self, probes: DataFrame) -> DataFrame:
+        """(key, maybe) of every distinct probe, by the segments' keys and the stored filters."""
+        m = self.manifest()
+        asked = probes.select("key").distinct()
+        hits = self._maybe(m, probes).select("key")
+        if m["segments"]:
+            hits = hits.unionByName(asked.join(self._read(m["segments"]).select("key"), "key", "left_semi"))
+        return asked.join(hits.distinct().withColumn("maybe", F.lit(True)), "key", "left").select("key", F.coalesce("maybe", F.lit(False)).alias("maybe"))
 
     def stats(self) -> DataFrame:
+        m = self.manifest()
         key, value = self.options.key_type, self.options.value_type
         n = F.count(F.lit(1))
-        state = oplog.fold(self.log()).agg(
-            n.alias("keys"), F.count(F.when(~F.col("deleted"), 1)).alias("live"),
-            (n * record_bytes(key, value) + 13).alias("run_bytes"),
-        )
-        wal = log_stats(self.log(), key, value).withColumnsRenamed({"file_size": "log_bytes"})
+        state = oplog.fold(self._read(m["segments"] + m["runs"])).agg(n.alias("keys"), F.count(F.when(~F.col("deleted"), 1)).alias("live"))
+        wal = log_stats(self._read(m["segments"]), key, value).withColumnsRenamed({"file_size": "log_bytes"})
         both = state.withColumn("one", F.lit(1)).join(wal.withColumn("one", F.lit(1)), "one").drop("one")
-        return both.select(F.lit(self.table.name).alias("table"), F.lit(self.options.name).alias("column"), "*")
+        runs = m["runs"]
+        known = {
+            "runs": len(runs), "levels": len({r["level"] for r in runs}), "run_records": sum(r["n"] for r in runs),
+            "run_bytes": sum(HEADER + r["n"] * record_bytes(key, value) for r in runs), "filter_bits": sum(r["bits"] for r in runs),
+        }
+        return both.select(
+            F.lit(self.table.name).alias("table"), F.lit(self.options.name).alias("column"), "*",
+            *[F.lit(v).cast("long").alias(k) for k, v in known.items()],
+        )
+
+    def ping_runs(self) -> list[tuple[str, float]]:
+        """(run, milliseconds for reading one record of it) of every run."""
+        out = []
+        for run in self.manifest()["runs"]:
+            began = time.perf_counter()
+            self._read([run]).limit(1).collect()
+            out.append((run["path"], (time.perf_counter() - began) * 1000))
+        return out
 
     def ping(self) -> float:
-        """Milliseconds for reading one record."""
+        """Mean milliseconds for reading one record of a run; of the segments where there is no run."""
+        if pings := [ms for _, ms in self.ping_runs()]:
+            return sum(pings) / len(pings)
         began = time.perf_counter()
         self.log().limit(1).collect()
         return (time.perf_counter() - began) * 1000
 
 
+class _Conflict(Exception):
+    pass
+
+
 class Table:
     """A named set of columns."""
 
@@ -352,6 +682,9 @@ class Database:
     def may_have(self, table: str, column: str, key) -> bool:
         return self.table(table).column(column).may_have(key)
 
+    def flush(self, table: str, column: str) -> bool:
+        return self.table(table).column(column).flush()
+
     def delete(self, table: str, column: str, key) -> bool:
         return self.table(table).column(column).delete(key)
 
@@ -380,4 +713,4 @@ class Database:
         """Make every column's version that of a snapshot."""
         for t in self.tables.values():
             for c in t.columns.values():
-                c._swap(self.spark.read.schema(c.schema).parquet(f"{snapshot}/{t.name}/{c.options.name}"))
+                c.restore(self.spark.read.schema(c.schema).parquet(f"{snapshot}/{t.name}/{c.options.name}"))

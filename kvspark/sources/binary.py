@@ -1,39 +1,53 @@
-"""Binary run and write-ahead files as Spark data sources (``kv_run`` and ``kv_log``).
+"""Binary run and write-ahead files as Spark data sources (``kv_run``, ``kv_log``), and runs' siblings (``kv_index``, ``kv_bloom``).
 
 A run file is a 13-byte header and fixed-width records in key order; a
-write-ahead file is five bytes and fixed-width records in write order. One file
-is one input partition; records are decoded a block at a time by a numpy record
-type, so a file of any size needs little memory. Writing makes one file per task.
+write-ahead file is five bytes and fixed-width records in write order. Files are read
+in ranges of whole records, a task each, and decoded a block at a time by a numpy record
+type. Writing makes one file per task and, for a run in key order, its siblings:
+``.index``, every ``PAGE``-th key with its offset, and ``.bloom``, a filter of its keys with
+its size. Paths may be on any file system that ``pyarrow.fs`` knows.
 
 Options: ``path`` (file or folder), ``key_type``, ``value_type``; for reading runs,
-``verify`` (default true) raises on damaged records. Integer keys and values of up
+``verify`` (default true) raises on damaged records, ``key`` reads the page that may hold a key of
+each file whose filter may hold it, and ``record`` the n-th record in key order (from 0;
+negative from the end). With ``pushdown`` (default false) an equality on ``key`` does the same as the
+option; it needs ``spark.sql.python.filterPushdown.enabled``. Integer keys and values of up
 to 64 bits, floats, booleans and fixed-width strings are supported.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
     InputPartition,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
 from kvspark.functions.codec import DELETE, END, LOG_BASE, LOG_END, LOG_START, PUT, RECORD_BASE, START
-from kvspark.functions.hashes import CHECKSUM_SEED
+from kvspark.functions.hashes import CHECKSUM_SEED, hash_keys, xxh32_rows
 from kvspark.functions.types import kind, token_of
+from kvspark.operators.bloom import modulus, seeds, sizing
 
 MAGIC, VERSION = b"SSTT", 1
 LOG_MAGIC = b"WALF\n"
 BLOCK = 50_000
+#: Records in a page of the index, and in a range that one task reads.
+PAGE, RANGE = 1_000, 2_000_000
+#: False-positive rate of a run's filter.
+ERROR_RATE = 0.2
 
 
 class FormatError(ValueError):
@@ -97,25 +111,23 @@ def _column(values: np.ndarray, token: str, null: np.ndarray | None = None) -> p
 
 def _raw(column: pa.Array, token: str) -> np.ndarray:
     """Values as the file's type; integers wrap, null is zero."""
-    values = column.to_pylist()
     if token.startswith("str:"):
         width = kind(token).width
-        encoded = [(v or "").encode() for v in values]
+        encoded = [v or b"" for v in column.cast(pa.binary()).to_pylist()]
         if any(len(v) > width for v in encoded):
             raise FormatError(f"text longer than {width} bytes")
         return np.array(encoded, dtype=f"S{width}")
+    if token == "u64":
+        return np.array([int(v or 0) & (2**64 - 1) for v in column.to_pylist()], dtype=">u8")
+    values = column.fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False)
     if token[0] == "f" or token == "bool":
-        return np.array([v or 0 for v in values], dtype=_dtype(token))
-    bits = 8 * kind(token).width
-    return np.array([int(v or 0) & ((1 << bits) - 1) for v in values], dtype=f">u{bits // 8}").view(_dtype(token))
+        return values.astype(_dtype(token))
+    return values.astype(np.int64).astype(_dtype(token))
 
 
 def checksums(records: np.ndarray) -> np.ndarray:
-    import xxhash
-
     raw = records.view(np.uint8).reshape(len(records), -1)
-    body = np.ascontiguousarray(raw[:, 16 : -17])
-    return np.array([xxhash.xxh32_intdigest(r.tobytes(), seed=CHECKSUM_SEED) for r in body], dtype="<u4")
+    return xxh32_rows(raw[:, 16:-17], CHECKSUM_SEED).astype("<u4")
 
 
 def damaged(records: np.ndarray) -> np.ndarray:
@@ -125,42 +137,201 @@ def damaged(records: np.ndarray) -> np.ndarray:
     return bad | (records["sum"] != checksums(records))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def place(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///", 1) if path.startswith("file:") else path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
+def listed(path: str, suffix: str) -> list[tuple[str, int]]:
+    """(path, size) of the files of a path with a suffix, by name."""
+    files, root = place(path)
+    info = files.get_file_info(root)
+    found = [info] if info.type == pafs.FileType.File else files.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted((x.path, x.size) for x in found if x.path.endswith(suffix) and not os.path.basename(x.path).startswith("_"))
+
+
+def _text(files: pafs.FileSystem, path: str) -> str | None:
+    if files.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with files.open_input_stream(path) as f:
+        return f.read().decode()
+
+
+# --- siblings of a run ---
+
+
+def index_text(keys: np.ndarray, token: str, size: int, header_bytes: int = 13) -> str:
+    """``key,offset`` of every ``PAGE``-th key; texts are quoted, so that a comma in a key is none of the list."""
+    spell = (lambda k: quote(k.decode(), safe="")) if token.startswith("str:") else (lambda k: str(int(k)))
+    return ",".join(f"{spell(k)},{header_bytes + i * PAGE * size}" for i, k in enumerate(keys[::PAGE].tolist()))
+
+
+def parse_index(text: str, token: str) -> tuple[list, list[int]]:
+    """Keys (bytes or integers) and offsets."""
+    parts = text.split(",") if text else []
+    read = (lambda k: unquote(k).encode()) if token.startswith("str:") else int
+    return [read(k) for k in parts[::2]], [int(x) for x in parts[1::2]]
+
+
+def _native(keys: np.ndarray, token: str) -> np.ndarray:
+    return keys if token.startswith("str:") else keys.astype(keys.dtype.newbyteorder("="))
+
+
+def bit_places(keys: np.ndarray, token: str, bits: int, hashes: int) -> np.ndarray:
+    """Bit numbers of keys, a column for each hash."""
+    own = _native(keys, token)
+    return np.column_stack([hash_keys(own, token, s) % modulus(bits) for s in seeds(hashes)])
+
+
+def filter_text(keys: np.ndarray, token: str) -> str:
+    """``bits,hashes`` and, on a line of its own, the filter's bytes as numbers."""
+    bits, hashes = sizing(max(1, len(keys)), ERROR_RATE)
+    hashes = max(1, hashes)
+    raw = np.zeros(modulus(bits), np.uint8)
+    if len(keys):
+        raw[bit_places(keys, token, bits, hashes).ravel()] = 1
+    return f"{bits},{hashes}\n" + ",".join(map(str, np.packbits(raw, bitorder="little").tolist()))
+
 
+def parse_filter(text: str) -> tuple[int, int, np.ndarray]:
+    """(bits, hashes, one 0 or 1 for every bit)."""
+    head, _, body = text.partition("\n")
+    bits, hashes = map(int, head.split(","))
+    return bits, hashes, np.unpackbits(np.array(body.split(","), dtype=np.uint8), bitorder="little")
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+
+def file_stats(path: str, key_type: str, value_type: str) -> list[dict]:
+    """Records, bytes, pages of the index and bits of the filter of every run file."""
+    size, out = record_type(key_type, value_type).itemsize, []
+    for name, n_bytes in listed(path, ".sst"):
+        files, _ = place(path)
+        index, kept = _text(files, name.removesuffix(".sst") + ".index"), _text(files, name.removesuffix(".sst") + ".bloom")
+        out.append({
+            "file": name, "records": (n_bytes - 13) // size, "bytes": n_bytes, "pages": len(parse_index(index or "", key_type)[0]),
+            "filter_bits": parse_filter(kept)[0] if kept else 0,
+        })
+    return out
+
+
+def truncate_log(path: str) -> None:
+    """Cut write-ahead files to their magic."""
+    for name, _ in listed(path, ".wal"):
+        with place(path)[0].open_output_stream(name) as f:
+            f.write(LOG_MAGIC)
+
+
+# --- readers ---
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, first: int, count: int) -> None:
+        self.path, self.first, self.count = path, first, count
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict, suffix: str) -> None:
-        self.path, self.suffix = _local(options["path"]), suffix
+    suffix, head = "", 0
+
+    def __init__(self, options: dict) -> None:
+        self.path = options["path"]
         self.key_type, self.value_type = options["key_type"], options["value_type"]
         self.verify = str(options.get("verify", "true")).lower() == "true"
+        self.key = options.get("key")
+        self.record = options.get("record")
 
-    def partitions(self) -> list[InputPartition]:
-        if os.path.isfile(self.path):
-            return [_File(self.path)]
-        return [_File(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(self.suffix)]
+    def record_kind(self) -> np.dtype:
+        raise NotImplementedError
 
-    def blocks(self, path: str, skip: int, kind_: np.dtype) -> Iterator[np.ndarray]:
-        with open(path, "rb") as f:
-            f.seek(skip)
-            while data := f.read(kind_.itemsize * BLOCK):
-                if len(data) % kind_.itemsize:
-                    raise FormatError(f"{path} ends inside a record")
-                yield np.frombuffer(data, kind_)
+    def files(self) -> list[tuple[str, int]]:
+        """(path, records) of every file."""
+        size, out = self.record_kind().itemsize, []
+        for path, n_bytes in listed(self.path, self.suffix):
+            if n_bytes < self.head or (n_bytes - self.head) % size:
+                raise FormatError(f"{path} ends inside a record")
+            out.append((path, (n_bytes - self.head) // size))
+        return out
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Range(path, a, min(RANGE, n - a)) for path, n in self.files() for a in range(0, n, RANGE)]
+
+    def blocks(self, part: _Range | None) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first record, records) of a range, block by block; Spark asks for None where there are no ranges."""
+        if part is None:
+            return
+        files, _ = place(self.path)
+        kind_ = self.record_kind()
+        with files.open_input_file(part.path) as f:
+            self.check(f.read(self.head))
+            f.seek(self.head + part.first * kind_.itemsize)
+            for at in range(0, part.count, BLOCK):
+                data = f.read(kind_.itemsize * min(BLOCK, part.count - at))
+                yield part.first + at, np.frombuffer(data, kind_)
+
+    def check(self, head: bytes) -> None:
+        raise NotImplementedError
 
 
 class RunReader(_Reader):
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            check_header(f.read(13), self.key_type, self.value_type)
-        for block in self.blocks(partition.path, 13, record_type(self.key_type, self.value_type)):
+    suffix, head = ".sst", 13
+
+    def record_kind(self) -> np.dtype:
+        return record_type(self.key_type, self.value_type)
+
+    def check(self, head: bytes) -> None:
+        check_header(head, self.key_type, self.value_type)
+
+    def _wanted(self) -> np.ndarray:
+        text = self.key_type.startswith("str:")
+        return np.array([str(self.key).encode() if text else int(self.key)], dtype=_dtype(self.key_type))
+
+    def partitions(self) -> list[InputPartition]:
+        if self.record is not None:
+            return self._nth(int(self.record))
+        if self.key is None:
+            return super().partitions()
+        out: list[InputPartition] = []
+        files, _ = place(self.path)
+        wanted = self._wanted()
+        for path, n in self.files():
+            base = path.removesuffix(".sst")
+            kept, index = _text(files, base + ".bloom"), _text(files, base + ".index")
+            if kept:
+                bits, hashes, held = parse_filter(kept)
+                if not held[bit_places(wanted, self.key_type, bits, hashes)].all():
+                    continue
+            if index is None:
+                out += [_Range(path, a, min(RANGE, n - a)) for a in range(0, n, RANGE)]
+                continue
+            keys, offsets = parse_index(index, self.key_type)
+            # A key that is written twice may begin in the page before the one that it begins.
+            value = wanted[0] if self.key_type.startswith("str:") else int(wanted[0])
+            first = max(0, sum(k < value for k in keys) - 1)
+            last = sum(k <= value for k in keys)
+            if last:
+                a = (offsets[first] - 13) // self.record_kind().itemsize
+                b = (offsets[last] - 13) // self.record_kind().itemsize if last < len(offsets) else n
+                out.append(_Range(path, a, b - a))
+        return out
+
+    def _nth(self, n: int) -> list[InputPartition]:
+        """The range of one record, where files follow each other by their first keys."""
+        files, _ = place(self.path)
+        first = lambda path: parse_index(_text(files, path.removesuffix(".sst") + ".index") or "", self.key_type)[0][:1]
+        ordered = sorted((x for x in self.files() if x[1]), key=lambda x: (first(x[0]), x[0]))
+        n = n if n >= 0 else n + sum(k for _, k in ordered)
+        for path, k in ordered:
+            if 0 <= n < k:
+                return [_Range(path, n, 1)]
+            n -= k
+        return []
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        for _, block in self.blocks(partition):
             if self.verify and damaged(block).any():
                 raise FormatError(f"damaged record in {partition.path}")
+            if self.key is not None:
+                block = block[block["key"] == self._wanted()[0]]
             gone = block["deleted"] == 1
             yield pa.RecordBatch.from_arrays(
                 [_column(block["key"], self.key_type), _column(block["value"], self.value_type, gone), pa.array(block["ts"].astype("f8")), pa.array(gone)],
@@ -168,10 +339,28 @@ class RunReader(_Reader):
             )
 
 
+class PushedRunReader(RunReader):
+    """Takes a key from a filter; only for sessions that push filters to Python sources, others refuse such a reader."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("key",) and f.value is not None and self.key is None:
+                self.key = f.value
+            yield f  # a page holds other keys too, so Spark filters again
+
+
 class LogReader(_Reader):
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        seq = 0
-        for block in self.blocks(partition.path, 5, log_type(self.key_type, self.value_type)):
+    suffix, head = ".wal", 5
+
+    def record_kind(self) -> np.dtype:
+        return log_type(self.key_type, self.value_type)
+
+    def check(self, head: bytes) -> None:
+        if head != LOG_MAGIC:
+            raise FormatError("not a write-ahead file")
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        for seq, block in self.blocks(partition):
             if (block["start"] != LOG_START).any() or (block["end"] != LOG_END).any():
                 raise FormatError(f"damaged record in {partition.path}")
             gone = block["method"] == DELETE
@@ -180,14 +369,39 @@ class LogReader(_Reader):
                  pa.array(gone), pa.array(np.arange(seq, seq + len(block)))],
                 names=["key", "value", "ts_ms", "deleted", "seq"],
             )
-            seq += len(block)
+
+
+class _SiblingReader(DataSourceReader):
+    def __init__(self, options: dict, suffix: str) -> None:
+        self.path, self.key_type, self.suffix = options["path"], options["key_type"], suffix
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Range(path, 0, 1) for path, _ in listed(self.path, self.suffix)]
+
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        text = _text(place(self.path)[0], partition.path) or ""
+        if self.suffix == ".index":
+            keys, offsets = parse_index(text, self.key_type)
+            column = pa.array([k.decode() for k in keys], pa.string()) if self.key_type.startswith("str:") else _column(np.array(keys, _dtype(self.key_type)), self.key_type)
+            columns = [pa.array(range(len(keys)), pa.int64()), column, pa.array(offsets, pa.int64())]
+            names = ["page", "first_key", "offset"]
+        else:
+            bits, hashes, held = parse_filter(text)
+            at = np.flatnonzero(held)
+            columns, names = [pa.array(np.full(len(at), bits)), pa.array(np.full(len(at), hashes, np.int32)), pa.array(at)], ["bits", "hashes", "bit"]
+        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(columns[0]), pa.string()), *columns], names=["file", *names])
+
+
+# --- writers ---
 
 
 class _Writer(DataSourceArrowWriter):
     suffix = ""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.overwrite = _local(options["path"]), overwrite
+        self.path, self.overwrite = options["path"], overwrite
         self.key_type, self.value_type = options["key_type"], options["value_type"]
 
     def head(self) -> bytes:
@@ -196,33 +410,49 @@ class _Writer(DataSourceArrowWriter):
     def records(self, batch: pa.RecordBatch) -> np.ndarray:
         raise NotImplementedError
 
+    def siblings(self, keys: list[np.ndarray]) -> dict[str, str]:
+        """What stands beside a file of these keys, by suffix."""
+        return {}
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}{self.suffix}"
-        with open(os.path.join(self.path, "_" + name), "wb") as f:
+        files, root = place(self.path)
+        files.create_dir(root, recursive=True)
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        keys = []
+        with files.open_output_stream(f"{root}/_{name}{self.suffix}") as f:
             f.write(self.head())
             for batch in iterator:
-                f.write(self.records(batch).tobytes())
+                records = self.records(batch)
+                keys.append(records["key"].copy())
+                f.write(records.tobytes())
         message = WriterCommitMessage()
-        message.name = name
+        message.names = [name + self.suffix]
+        for suffix, text in self.siblings(keys).items():
+            with files.open_output_stream(f"{root}/_{name}{suffix}") as f:
+                f.write(text.encode())
+            message.names.append(name + suffix)
         return message
 
     def commit(self, messages: list) -> None:
+        files, root = place(self.path)
         if self.overwrite:
-            for f in os.listdir(self.path):
-                if f.endswith(self.suffix) and not f.startswith("_"):
-                    os.remove(os.path.join(self.path, f))
+            for suffix in (self.suffix, ".index", ".bloom"):
+                for path, _ in listed(self.path, suffix):
+                    files.delete_file(path)
+        # Siblings first: a run that can be seen has its index and filter.
         for m in messages:
-            if m is not None:
-                os.rename(os.path.join(self.path, "_" + m.name), os.path.join(self.path, m.name))
+            for name in reversed(m.names if m is not None else []):
+                files.move(f"{root}/_{name}", f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
+        files, root = place(self.path)
         for m in messages:
-            if m is not None and os.path.exists(os.path.join(self.path, "_" + m.name)):
-                os.remove(os.path.join(self.path, "_" + m.name))
+            for name in m.names if m is not None else []:
+                if files.get_file_info(f"{root}/_{name}").type == pafs.FileType.File:
+                    files.delete_file(f"{root}/_{name}")
 
 
 class RunWriter(_Writer):
@@ -231,6 +461,13 @@ class RunWriter(_Writer):
     def head(self) -> bytes:
         return header(self.key_type, self.value_type)
 
+    def siblings(self, keys: list[np.ndarray]) -> dict[str, str]:
+        own = np.concatenate(keys) if keys else np.zeros(0, _dtype(self.key_type))
+        out = {".bloom": filter_text(own, self.key_type)}
+        if (own[1:] >= own[:-1]).all():
+            out[".index"] = index_text(own, self.key_type, record_type(self.key_type, self.value_type).itemsize)
+        return out
+
     def records(self, batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(batch.num_rows, record_type(self.key_type, self.value_type))
         out["start"], out["end"], out["cw"] = START, END, 4
@@ -238,7 +475,7 @@ class RunWriter(_Writer):
         for name, token in (("key", self.key_type), ("value", self.value_type)):
             out[name] = _raw(batch.column(batch.schema.get_field_index(name)), token)
         out["ts"] = batch.column(batch.schema.get_field_index("ts_ms")).to_numpy(zero_copy_only=False)
-        out["deleted"] = np.array(batch.column(batch.schema.get_field_index("deleted")).to_pylist(), dtype="u1")
+        out["deleted"] = batch.column(batch.schema.get_field_index("deleted")).to_numpy(zero_copy_only=False)
         out["sum"] = checksums(out)
         return out
 
@@ -257,7 +494,7 @@ class LogWriter(_Writer):
         for name, token in (("key", self.key_type), ("value", self.value_type)):
             out[name] = _raw(batch.column(batch.schema.get_field_index(name)), token)
         out["ts"] = batch.column(batch.schema.get_field_index("ts_ms")).to_numpy(zero_copy_only=False)
-        gone = np.array(batch.column(batch.schema.get_field_index("deleted")).to_pylist(), dtype=bool)
+        gone = batch.column(batch.schema.get_field_index("deleted")).to_numpy(zero_copy_only=False).astype(bool)
         out["method"] = np.where(gone, DELETE, PUT)
         return out
 
@@ -277,7 +514,8 @@ class RunSource(_Source):
         return self._schema()
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return RunReader(self.options, ".sst")
+        push = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (PushedRunReader if push else RunReader)(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return RunWriter(self.options, overwrite)
@@ -292,16 +530,40 @@ class LogSource(_Source):
         return self._schema("seq long")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return LogReader(self.options, ".wal")
+        return LogReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return LogWriter(self.options, overwrite)
 
 
+class IndexSource(_Source):
+    @classmethod
+    def name(cls) -> str:
+        return "kv_index"
+
+    def schema(self) -> str:
+        return f"file string, page long, first_key {kind(self.options['key_type']).spark.simpleString()}, offset long"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _SiblingReader(self.options, ".index")
+
+
+class FilterSource(_Source):
+    @classmethod
+    def name(cls) -> str:
+        return "kv_bloom"
+
+    def schema(self) -> str:
+        return "file string, bits long, hashes int, bit long"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _SiblingReader(self.options, ".bloom")
+
+
 def register(spark: SparkSession) -> None:
-    """Make both formats known to the session."""
-    spark.dataSource.register(RunSource)
-    spark.dataSource.register(LogSource)
+    """Make the formats known to the session."""
+    for source in (RunSource, LogSource, IndexSource, FilterSource):
+        spark.dataSource.register(source)
 
 
 assert LOG_BASE == log_type("u8", "u8").itemsize - 2 and RECORD_BASE == record_type("u8", "u8").itemsize - 2

@@ -1,13 +1,14 @@
 """Databases, binary files and streams."""
 
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from kvspark.operators.oplog import fold
 from kvspark.plans import catalog
-from kvspark.plans.store import ColumnOptions, Database, StoreError, TableOptions, merge_options
+from kvspark.plans.store import ColumnOptions, Database, Mutex, StoreError, TableOptions, merge_options
 from kvspark.sources import binary
 from kvspark.streaming.flush import Flusher, activity, log_stream
 
@@ -76,6 +77,123 @@ def test_clear_snapshot_restore_and_reopen(db, spark):
     assert stats["main", "money"].live == 1 and stats["main", "big"].keys == 0 and again.ping() > 0
 
 
+def column_of(spark, tmp_path, **options):
+    made = ColumnOptions("c", "i64", "f64", **options)
+    return Database(spark, f"file://{tmp_path}/db", [TableOptions("t", (made,))]).init().table("t").column("c")
+
+
+def frame(spark, a, b, plus=0.0):
+    return spark.range(a, b).select(F.col("id").alias("key"), (F.col("id") + plus).alias("value"))
+
+
+def test_flushes_levels_and_filters(spark, tmp_path):
+    column = column_of(spark, tmp_path, memtable=100, growth=2, levels=2)
+    column.insert_frame(frame(spark, 0, 60))
+    assert column.manifest()["runs"] == [] and column.memtable().count() == 60 and column.read_logs().first().key == 0
+    column.insert_frame(frame(spark, 50, 120, 0.5))
+    assert [(r["level"], r["n"]) for r in column.manifest()["runs"]] == [(0, 120)] and column.manifest()["segments"] == []
+    assert column.get(55).value == 55.5 and column.get(10).value == 10.0 and column.get(500) is None
+    assert column.delete(10) and column.get(10) is None and column.get_versioned(10).deleted and not column.has(10)
+    column.insert_frame(frame(spark, 200, 300))
+    # The second run at level 0 is merged with the first at level 1, where one run is not due.
+    assert [(r.level, r.records) for r in column.runs().collect()] == [(1, 220)]
+    column.insert_frame(frame(spark, 300, 400)), column.insert_frame(frame(spark, 400, 500))
+    # Two runs at level 0 again, hence two at the last level, which are merged in place without tombstones.
+    assert [(r.level, r.records) for r in column.runs().collect()] == [(1, 419)]
+    assert column.state().count() == 419 and column.get_versioned(10) is None
+    told = {r.key: r.maybe for r in column.may_have_many(frame(spark, 0, 2000)).collect()}
+    live = {r.key for r in column.state().collect()}
+    assert all(told[k] for k in live) and sum(told.values()) < 419 + 0.3 * 1600
+    assert column.may_have(55) and sum(column.may_have(k) for k in (1000, 1001, 1002, 1003, 1004, 1005)) < 6
+    assert len(column.ping_runs()) == 1 and column.ping() > 0
+    before = len(os.listdir(f"{tmp_path}/db/t/c"))
+    assert column.vacuum(0) > 5 and len(os.listdir(f"{tmp_path}/db/t/c")) < before and column.state().count() == 419
+
+
+def test_an_append_during_a_compaction_stays(spark, tmp_path):
+    column = column_of(spark, tmp_path)
+    column.insert_frame(frame(spark, 0, 10))
+    held, run = column._run, column._run
+
+    def slow(records, level, **options):
+        made = held(records, level, **options)
+        column._append(frame(spark, 100, 105).selectExpr("key", "value", "current_timestamp() ts", "1L seq", "false deleted"))
+        return made
+
+    column._run = slow
+    assert column.compact()
+    column._run = run
+    assert column.state().count() == 15 and len(column.manifest()["segments"]) == 1
+    # What a clear took away meanwhile doesn't come back.
+    column._run = lambda records, level, **options: (held(records, level, **options), column.clear())[0]
+    assert not column.compact() and not column.flush() and column.state().count() == 0
+
+
+def test_locks(spark, tmp_path):
+    column = column_of(spark, tmp_path)
+    mutex, other = column.mutex, Mutex(column.files, lambda: f"{column.path}/LOCK", timeout=0.2, stale=60)
+    with mutex.held():
+        assert mutex.is_locked and other.is_locked
+        with pytest.raises(StoreError):
+            other.lock()
+    assert not mutex.is_locked
+    # A lock that a dead process left is taken over.
+    open(f"{tmp_path}/db/t/c/LOCK", "w").close()
+    os.utime(f"{tmp_path}/db/t/c/LOCK", (1, 1))
+    with mutex.held():
+        pass
+    threads = [threading.Thread(target=column.insert, args=(i, 1.0)) for i in range(6)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert column.state().count() == 6 and len(column.manifest()["segments"]) == 6
+
+
+def test_cache_follows_writes_of_others(spark, tmp_path):
+    column, other = column_of(spark, tmp_path), column_of(spark, tmp_path)
+    column.insert(1, 1.0)
+    assert column.get(1).value == 1.0 and column.cache.has(1)
+    other.insert(1, 2.0)
+    assert column.get(1).value == 2.0
+    column.insert(1, 3.0)
+    assert column.get(1).value == 3.0 and other.get(1).value == 3.0
+    column.insert_frame(spark.createDataFrame([(1, 4.0), (1, 5.0)], "key long, value double").coalesce(1))
+    assert column.get(1).value == 5.0
+    column.truncate_log()
+    assert column.get(1) is None
+    column.set_path(f"file://{tmp_path}/elsewhere")
+    assert column.init().state().count() == 0 and column.path.endswith("elsewhere")
+
+
+@pytest.mark.parametrize("key_type", ["i64", "u32", "str:8"])
+def test_keys_and_records_of_run_files(spark, tmp_path, key_type):
+    binary.register(spark)
+    key = "concat('k,', lpad(id, 6, '0'))" if key_type.startswith("str") else "id"
+    rows = spark.range(0, 9000, 2).selectExpr(f"{key} AS key", "id AS value", "0D AS ts_ms", "false AS deleted")
+    options = {"path": f"{tmp_path}/r", "key_type": key_type, "value_type": "u32"}
+    rows.repartitionByRange(2, "key").sortWithinPartitions("key").write.format("kv_run").options(**options).mode("append").save()
+    spell = (lambda i: f"k,{i:06d}") if key_type.startswith("str") else str
+    load = lambda **more: spark.read.format("kv_run").options(**options, **more).load()
+    for i in (0, 1998, 2000, 2002, 4498, 8998):
+        assert [r.value for r in load(key=spell(i)).collect()] == [i]
+    assert load(key=spell(2001)).collect() == [] and load(key=spell(9999)).collect() == []
+    assert [load(record=n).first().value for n in (0, 7, -1)] == [0, 14, 8998] and load(record=4500).collect() == []
+    reader = binary.RunReader({**options, "key": spell(2000)})
+    assert sum(p.count for p in reader.partitions()) <= 2 * binary.PAGE
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert [r.value for r in load(pushdown=True).filter(F.col("key") == (spell(2000) if key_type.startswith("str") else 2000)).collect()] == [2000]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    index = spark.read.format("kv_index").options(**options).load().orderBy("first_key").collect()
+    size = binary.record_type(key_type, "u32").itemsize
+    assert all(r.offset == 13 + 1000 * r.page * size for r in index) and len(index) >= 5 and index[0].first_key in (0, spell(0))
+    stats = binary.file_stats(options["path"], key_type, "u32")
+    assert sum(s["records"] for s in stats) == 4500 and all(s["filter_bits"] and s["pages"] for s in stats)
+    held = spark.read.format("kv_bloom").options(**options).load()
+    assert held.select("file").distinct().count() == 2
+    log = {**options, "path": f"{tmp_path}/w"}
+    rows.write.format("kv_log").options(**log).mode("append").save()
+    binary.truncate_log(log["path"])
+    assert spark.read.format("kv_log").options(**log).load().count() == 0
+
+
 TYPES = [("i64", "f64"), ("u32", "u32"), ("u64", "i8"), ("str:6", "str:3"), ("u16", "f32"), ("i32", "bool")]
 
 
