@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvspark.functions import codec, hashes
@@ -114,6 +114,15 @@ def fold_ties(spark, sf_dir):
     return oplog.fold(log).select("key", "value", "deleted")
 
 
+def _store(spark, sf_dir, *columns: str, **options):
+    """A database of one table of i64 -> f64 columns."""
+    from kvspark.plans.store import ColumnOptions, Database, TableOptions
+    from kvspark.sources.scratch import scratch_path
+
+    made = tuple(ColumnOptions(name, "i64", "f64", **options) for name in columns)
+    return Database(spark, scratch_path(spark, "db"), [TableOptions("main", made)]).init()
+
+
 # --- writes ----------------------------------------------------------------------------------------------------------
 
 
@@ -139,11 +148,15 @@ def delete_then_read(spark, sf_dir):
     return oplog.live(log.unionByName(gone)).select("key", "value")
 
 
-@register("SELECT 'price' AS col, count(*) AS n FROM orders")
+@register("SELECT 'kept' AS col, count(*) AS n FROM orders")
 def clear_column(spark, sf_dir):
-    log = kv(spark, sf_dir).select("key", "value")
-    both = log.withColumn("col", F.lit("price")).unionByName(oplog.cleared(log).withColumn("col", F.lit("cleared")))
-    return both.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    """Two columns with the same records, one of them cleared and read back."""
+    db = _store(spark, sf_dir, "kept", "gone")
+    for name in ("kept", "gone"):
+        db.table("main").column(name).insert_frame(kv(spark, sf_dir))
+    db.clear("main", "gone")
+    both = [db.table("main").column(name).state().withColumn("col", F.lit(name)) for name in ("kept", "gone")]
+    return both[0].unionByName(both[1]).groupBy("col").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"WITH {_EV}, {_NEW} SELECT key, value, deleted FROM new ORDER BY key")
@@ -156,10 +169,24 @@ def memtable_sorted(spark, sf_dir):
 
 @register(f"""WITH {_EV}, {_RUNS} SELECT level, run_id, count(*) AS records, count(DISTINCT key) AS keys,
   min(key) AS first_key, max(key) AS last_key FROM runs GROUP BY level, run_id""")
-def flush_runs(spark, sf_dir):
+def run_summary(spark, sf_dir):
     return runs.run_summary(ev_runs(spark, sf_dir))
 
 
+@register(f"""WITH {_EV}, half AS (SELECT *, CASE WHEN seq < 500 THEN 0 ELSE 1 END AS run_id FROM ev),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY ts DESC, seq DESC) AS rn FROM half) WHERE rn = 1)
+SELECT 0 AS level, CAST(run_id AS BIGINT) AS run_id, count(*) AS records, count(*) AS keys, min(key) AS first_key, max(key) AS last_key
+FROM one GROUP BY run_id""")
+def flush_runs(spark, sf_dir):
+    """The log in two parts, each flushed to a run, written and read back."""
+    from kvspark.sources.scratch import written
+
+    log = ev(spark, sf_dir)
+    parts = [runs.flush(log.filter("seq < 500"), 0), runs.flush(log.filter("seq >= 500"), 1)]
+    back = [written(part, "run") for part in parts]
+    return runs.run_summary(back[0].unionByName(back[1]))
+
+
 @register(f"""WITH {_EV}, {_RUNS} SELECT level, run_id, count(*) AS kv_count, CAST(13 + count(*) * 49 AS BIGINT) AS file_size,
   CAST(ceil(count(*) / 1000.0) AS BIGINT) AS pages FROM runs GROUP BY level, run_id""")
 def run_stats(spark, sf_dir):
@@ -239,15 +266,62 @@ def memtable_stats(spark, sf_dir):
     return runs.memtable_stats(ev(spark, sf_dir))
 
 
-@register(f"""WITH {_EV}, {_RUNS} SELECT level, count(DISTINCT run_id) AS runs, count(*) AS records, count(DISTINCT key) AS keys,
-  CAST(sum(CAST(deleted AS INT)) AS BIGINT) AS tombstones FROM runs GROUP BY level""")
+@register(f"""WITH {_KV} SELECT 'main' AS "table", 'price' AS "column", count(*) AS keys, count(*) - 100 AS live, CAST(100 AS BIGINT) AS entries,
+  CAST(5 + 100 * 43 AS BIGINT) AS log_bytes, CAST(1 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS levels, count(*) AS run_records,
+  CAST(13 + count(*) * 49 AS BIGINT) AS run_bytes, CAST(ceil(count(*) * ln(0.2) / ln(1 / pow(2, ln(2)))) AS BIGINT) AS filter_bits FROM kv""")
 def db_stats(spark, sf_dir):
-    return ev_runs(spark, sf_dir).groupBy("level").agg(
-        F.countDistinct("run_id").alias("runs"), F.count(F.lit(1)).alias("records"), F.countDistinct("key").alias("keys"),
-        F.sum(F.col("deleted").cast("long")).alias("tombstones"),
+    """A store of all orders, flushed, and a hundred deletes that aren't."""
+    db = _store(spark, sf_dir, "price")
+    column = db.table("main").column("price")
+    column.insert_frame(kv(spark, sf_dir))
+    column.flush()
+    column.delete_keys(spark.range(100).withColumnRenamed("id", "key"))
+    return db.stats()
+
+
+def _filled(spark, sf_dir):
+    """A column of all orders, in seven appends that are flushed one by one."""
+    db = _store(spark, sf_dir, "price", memtable=1, growth=3, levels=3)
+    column = db.table("main").column("price")
+    for i in range(7):
+        column.insert_frame(kv(spark, sf_dir).filter(F.col("key") % 7 == i))
+    return column
+
+
+@register(f"""WITH {_KV} SELECT CASE WHEN key % 7 < 6 THEN 1 ELSE 0 END AS level, CAST(CASE WHEN key % 7 < 3 THEN 0 WHEN key % 7 < 6 THEN 1 ELSE 2 END AS INT) AS run,
+  count(*) AS records, CAST(13 + count(*) * 49 AS BIGINT) AS file_size, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS pages FROM kv GROUP BY ALL""")
+def store_levels(spark, sf_dir):
+    """Seven flushes with three runs a level: two merged runs at level 1 and one at level 0."""
+    found = _filled(spark, sf_dir).runs()
+    order = F.array_position(F.lit([r["run_id"] for r in found.orderBy(F.desc("level"), "run_id").collect()]), F.col("run_id")) - 1
+    return found.select("level", order.cast("int").alias("run"), "records", "file_size", "pages")
+
+
+@register(f"WITH {_KV}, {_PROBES} SELECT p.key FROM probes p JOIN kv ON p.key = kv.key")
+def store_has(spark, sf_dir):
+    return _filled(spark, sf_dir).has_many(probes(spark, sf_dir))
+
+
+@register(f"WITH {_KV}, {_PROBES} SELECT count(DISTINCT key) AS present, CAST(0 AS BIGINT) AS missed, true AS few_wrong FROM probes WHERE key IN (SELECT key FROM kv)")
+def store_bloom_check(spark, sf_dir):
+    """Stored filters of all runs: no key that is there is missed, and at most 0.7 of the others (three runs at 0.2 each) are let through."""
+    told = _filled(spark, sf_dir).may_have_many(probes(spark, sf_dir))
+    there = kv(spark, sf_dir).select("key", F.lit(True).alias("there"))
+    told = told.join(there, "key", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    return told.agg(
+        F.count_if("there").alias("present"), F.count_if(F.col("there") & ~F.col("maybe")).alias("missed"),
+        (F.count_if(~F.col("there") & F.col("maybe")) <= 0.7 * F.count_if(~F.col("there"))).alias("few_wrong"),
     )
 
 
+@register(f"WITH {_KV}, {_PROBES} SELECT key, value FROM kv WHERE key NOT IN (SELECT key FROM probes)")
+def store_delete_compact(spark, sf_dir):
+    column = _filled(spark, sf_dir)
+    column.delete_keys(probes(spark, sf_dir))
+    column.compact()
+    return column.log().select("key", "value")
+
+
 # --- hashes ----------------------------------------------------------------------------------------------------------
 
 
@@ -347,22 +421,72 @@ def hash_charwise(spark, sf_dir):
     return _ids(spark, sf_dir).select("id", hashes.hash_chars(F.col("id"), 42).alias("h"))
 
 
-@register()
+def _u(x: str | int) -> str:
+    return f"CAST({x} AS UBIGINT)"
+
+
+_WRAP = 4294967296
+
+
+def _murmur_mix(k: str) -> list[str]:
+    """SQL: the steps that a block goes through, as templates of x."""
+    return [f"x * {_u(0xCC9E2D51)} % {_WRAP}", f"x * 32768 % {_WRAP} + x // 131072", f"x * {_u(0x1B873593)} % {_WRAP}"]
+
+
+def _murmur_sql(seed: int, source: str) -> str:
+    """SQL: (key, h) of ASCII keys."""
+    byte = f"(SELECT key, [CAST(ascii(c) AS UBIGINT) FOR c IN regexp_extract_all(key, '.')] AS b FROM {source})"
+    blocks = (
+        f"(SELECT key, len(b) AS n, list_transform(generate_series(0, len(b) // 4 - 1), lambda i: b[4 * i + 1] + 256 * b[4 * i + 2]"
+        f" + 65536 * b[4 * i + 3] + 16777216 * b[4 * i + 4]) AS ks, coalesce(list_sum(list_transform(generate_series(0, len(b) % 4 - 1),"
+        f" lambda i: b[len(b) // 4 * 4 + i + 1] * [1, 256, 65536][i + 1])), 0) AS tail FROM {byte})"
+    )
+    ks, tail = "ks", _u("tail")
+    for step in _murmur_mix("x"):
+        ks = f"list_transform({ks}, lambda x: {step})"
+        tail = f"list_transform([{tail}], lambda x: {step})[1]"
+    body = f"list_reduce(list_prepend({_u(seed & 0xFFFFFFFF)}, {ks}), lambda h, k: ((xor(h, k) * 8192 % {_WRAP} + xor(h, k) // 524288) * 5 + {0xE6546B64}) % {_WRAP})"
+    out = f"(SELECT key, xor(xor({body}, {tail}), {_u('n')}) AS h FROM {blocks})"
+    for i, (bits, factor) in enumerate(((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1))):
+        out = f"(SELECT key, {_u(f'xor(h, h // {1 << bits})')} * {_u(factor)} % {_WRAP} AS h FROM {out} AS m{i})"
+    return f"(SELECT key, CAST(h AS BIGINT) AS h FROM {out} AS m)"
+
+
+@register(f"WITH {_IDS}, k AS (SELECT id AS key FROM ids) SELECT key AS id, h FROM {_murmur_sql(0, 'k')}")
 def hash_murmur3(spark, sf_dir):
     return _ids(spark, sf_dir).select("id", hashes.murmur3(F.col("id"), 0).alias("h"))
 
 
-@register()
+def _swapped(x: str) -> str:
+    return f"(({x}) % 256 * 16777216 + ({x}) // 256 % 256 * 65536 + ({x}) // 65536 % 256 * 256 + ({x}) // 16777216)"
+
+
+def _xxh32_sql(source: str) -> str:
+    """SQL: (key, h) of the eight big-endian bytes of non-negative keys."""
+    out = f"(SELECT key, {_u('key')} AS whole, {_u((0xCAFEBABE + 0x165667B1 + 8) % _WRAP)} AS h FROM {source})"
+    for i, lane in enumerate((_swapped(f"whole // {_WRAP}"), _swapped(f"whole % {_WRAP}"))):
+        out = f"(SELECT key, whole, (h + {lane} * {_u(0xC2B2AE3D)} % {_WRAP}) % {_WRAP} AS h FROM {out} AS a{i})"
+        out = f"(SELECT key, whole, (h * 131072 % {_WRAP} + h // 32768) * {_u(0x27D4EB2F)} % {_WRAP} AS h FROM {out} AS b{i})"
+    for i, (bits, factor) in enumerate(((15, 0x85EBCA77), (13, 0xC2B2AE3D), (16, 1))):
+        out = f"(SELECT key, whole, {_u(f'xor(h, h // {1 << bits})')} * {_u(factor)} % {_WRAP} AS h FROM {out} AS c{i})"
+    return f"(SELECT key, CAST(h AS BIGINT) AS h FROM {out} AS d)"
+
+
+@register(f"WITH {_KV} SELECT key, h AS checksum FROM {_xxh32_sql('kv')}")
 def checksum_xxh32(spark, sf_dir):
     raw = codec.encode_value(F.col("key"), "u64")
     return kv(spark, sf_dir).select("key", hashes.xxh32(raw).alias("checksum"))
 
 
-@register("SELECT o_orderkey AS key, true AS valid FROM orders")
+@register("SELECT o_orderkey AS key, o_orderkey % 3 = 0 AS valid FROM orders")
 def checksum_validate(spark, sf_dir):
+    """Of every three records, one has a changed value byte and one a changed end marker."""
     log = kv(spark, sf_dir)
-    raw = codec.encode_record(F.col("key"), F.col("value"), F.lit(0.0), F.lit(False), "u64", "f64")
-    return log.select("key", raw.alias("raw")).select("key", codec.decode_record(F.col("raw"), "u64", "f64")["valid"].alias("valid"))
+    raw = F.hex(codec.encode_record(F.col("key"), F.col("value"), F.lit(0.0), F.lit(False), "u64", "f64"))
+    flipped = lambda at: F.overlay(F.col("raw"), F.when(F.substring("raw", at, 2) == "5A", "A5").otherwise("5A"), at, 2)
+    harmed = F.when(F.col("key") % 3 == 1, flipped(2 * 24 + 1)).when(F.col("key") % 3 == 2, flipped(2 * 47 + 1)).otherwise(F.col("raw"))
+    records = log.select("key", raw.alias("raw")).select("key", F.unhex(harmed).alias("raw"))
+    return records.select("key", codec.decode_record(F.col("raw"), "u64", "f64")["valid"].alias("valid"))
 
 
 # --- filters ---------------------------------------------------------------------------------------------------------
@@ -393,14 +517,24 @@ def _half(spark, sf_dir):
 _EVEN = f"{_KV}, even AS (SELECT key FROM kv WHERE key % 2 = 0)"
 
 
-@register(f"WITH {_EVEN} SELECT DISTINCT bit FROM ({_positions('u32', 'even')})")
+@register(f"WITH {_KV} SELECT DISTINCT bit FROM ({_positions('u32', 'kv')})")
 def bloom_bits(spark, sf_dir):
-    return bloom.build(_half(spark, sf_dir), "u32", _BITS, _K)
+    return bloom.build(kv(spark, sf_dir).select("key"), "u32", _BITS, _K)
 
 
-@register(f"WITH {_EVEN} SELECT DISTINCT bit FROM ({_positions('u64', 'even')})")
+@register(f"WITH {_KV} SELECT DISTINCT bit FROM ({_positions('u64', 'kv')})")
 def bloom_bits_u64(spark, sf_dir):
-    return bloom.build(_half(spark, sf_dir), "u64", _BITS, _K)
+    return bloom.build(kv(spark, sf_dir).select("key"), "u64", _BITS, _K)
+
+
+_STR = "k AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS key FROM orders)"
+
+
+@register(f"WITH {_STR} SELECT DISTINCT bit FROM ("
+          + " UNION ALL ".join(f"SELECT key, CAST(h % {_M} AS BIGINT) AS bit FROM {_murmur_sql(s, 'k')}" for s in bloom.seeds(_K)) + ")")
+def bloom_bits_str(spark, sf_dir):
+    keys = kv(spark, sf_dir).select(F.lpad(F.col("key").cast("string"), 18, "0").alias("key"))
+    return bloom.build(keys, "str:18", _BITS, _K)
 
 
 _CHECK = f"""WITH {_EVEN}, {_PROBES}, bits AS (SELECT DISTINCT bit FROM ({_positions('u32', 'even')})),
@@ -410,7 +544,11 @@ SELECT p.key, bool_and(b.bit IS NOT NULL) AS maybe FROM p LEFT JOIN bits b ON p.
 
 @register(_CHECK)
 def bloom_check(spark, sf_dir):
-    return bloom.lookup(bloom.build(_half(spark, sf_dir), "u32", _BITS, _K), probes(spark, sf_dir), "u32", _BITS, _K)
+    """Half of the keys are in the filter, so that probes of the others can go either way."""
+    filters = bloom.stored(bloom.build(_half(spark, sf_dir), "u32", _BITS, _K), _BITS).withColumn("run_id", F.lit("all"))
+    asked = probes(spark, sf_dir)
+    hits = bloom.probe(filters, {"all": (_BITS, _K)}, asked, "u32").select("key", F.lit(True).alias("hit"))
+    return asked.distinct().join(hits, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("maybe"))
 
 
 @register(f"SELECT count(*) AS absent, CAST(sum(CAST(maybe AS INT)) AS BIGINT) AS false_positives FROM ({_CHECK}) WHERE key % 2 = 1")
@@ -425,9 +563,14 @@ def bloom_merge(spark, sf_dir):
     return bloom.merge([bloom.build(keys.filter(f"key % 2 = {i}"), "u32", _BITS, _K) for i in (0, 1)])
 
 
-@register(f"WITH {_EVEN} SELECT DISTINCT bit FROM ({_positions('u32', 'even')})")
+@register(f"WITH {_KV} SELECT DISTINCT bit FROM ({_positions('u32', 'kv')})")
 def bloom_pack_roundtrip(spark, sf_dir):
-    return bloom.unpacked(bloom.packed(bloom.build(_half(spark, sf_dir), "u32", _BITS, _K)))
+    return bloom.unpacked(bloom.packed(bloom.build(kv(spark, sf_dir).select("key"), "u32", _BITS, _K)))
+
+
+@register(f"WITH {_KV} SELECT DISTINCT bit FROM ({_positions('u32', 'kv')})")
+def bloom_text_roundtrip(spark, sf_dir):
+    return bloom.from_text(bloom.to_text(bloom.build(kv(spark, sf_dir).select("key"), "u32", _BITS, _K), _BITS))
 
 
 @register(f"""WITH {_EV}, {_RUNS}, keys AS (SELECT DISTINCT key FROM runs),
@@ -528,6 +671,56 @@ def wal_file_roundtrip(spark, sf_dir):
     return _binary(spark, sf_dir, "kv_log")
 
 
+def _run_files(spark, sf_dir, **options):
+    """All orders as run files in key order, and their options."""
+    from kvspark.sources import binary
+    from kvspark.sources.scratch import scratch_path
+
+    binary.register(spark)
+    path = {"key_type": "i64", "value_type": "f64", "path": scratch_path(spark, "run-files")}
+    log = kv(spark, sf_dir).repartitionByRange(4, "key").sortWithinPartitions("key")
+    rows = log.select("key", "value", F.lit(0.0).alias("ts_ms"), "deleted")
+    rows.write.format("kv_run").options(**path).mode("append").save()
+    return path
+
+
+@register(f"WITH {_KV} SELECT key, value FROM kv WHERE key = 4242 % (SELECT count(*) FROM kv)")
+def run_file_key(spark, sf_dir):
+    """One key through the files' filters and indexes: a page of one file is read."""
+    path = _run_files(spark, sf_dir)
+    n = kv(spark, sf_dir).count()
+    return spark.read.format("kv_run").options(**path, key=4242 % n).load().select("key", "value")
+
+
+@register(f"WITH {_KV} SELECT key, value FROM kv ORDER BY key DESC LIMIT 1 OFFSET 6")
+def run_file_record(spark, sf_dir):
+    """One record by its position from the end."""
+    return spark.read.format("kv_run").options(**_run_files(spark, sf_dir), record=-7).load().select("key", "value")
+
+
+@register(f"WITH {_KV} SELECT count(*) AS n, bool_and(there) AS there FROM (SELECT key, true AS there FROM kv)")
+def run_file_index(spark, sf_dir):
+    """Every key has a page of an index file that begins at or before it: their last first keys, looked up for all keys."""
+    path = _run_files(spark, sf_dir)
+    index = spark.read.format("kv_index").options(**path).load()
+    numbered = index.select("first_key", F.row_number().over(Window.orderBy("first_key")).cast("long").alias("page"))
+    found = lookup.page_floor(numbered, kv(spark, sf_dir).select("key"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("page") >= 1).alias("there"))
+
+
+@register(f"WITH {_KV} SELECT count(*) AS present FROM kv")
+def run_file_filter(spark, sf_dir):
+    """Keys that the filter files of the run files let through: every one."""
+    stored = spark.read.format("kv_bloom").options(**_run_files(spark, sf_dir)).load()
+    keys = kv(spark, sf_dir).select("key")
+    found = None
+    for r in stored.groupBy("file", "bits", "hashes").count().collect():
+        own = stored.filter(F.col("file") == r["file"]).select("bit")
+        hit = bloom.lookup(own, keys, "i64", r["bits"], r["hashes"]).filter("maybe").select("key")
+        found = hit if found is None else found.unionByName(hit)
+    return found.distinct().agg(F.count(F.lit(1)).alias("present"))
+
+
 @register(f"WITH {_KV} SELECT key, value FROM kv")
 def snapshot_roundtrip(spark, sf_dir):
     from kvspark.plans.store import ColumnOptions, Database, TableOptions
@@ -542,13 +735,15 @@ def snapshot_roundtrip(spark, sf_dir):
     return column.state().select("key", "value")
 
 
-@register()
+@register("SELECT * FROM (VALUES ('column', 1), ('database', 1), ('run', 3), ('table', 1)) AS v(what, answers)")
 def ping(spark, sf_dir):
-    import time
-
-    began = time.perf_counter()
-    kv(spark, sf_dir).limit(1).collect()
-    return spark.createDataFrame([("kv", (time.perf_counter() - began) * 1000)], "column string, ms double")
+    """How many parts of a store of three runs answer, each with a time above 0."""
+    column = _filled(spark, sf_dir)
+    table_ = column.table
+    times = [("column", column.ping()), ("table", table_.ping()), ("database", table_.database.ping())]
+    times += [("run", ms) for _, ms in column.ping_runs()]
+    asked = spark.createDataFrame(times, "what string, ms double")
+    return asked.groupBy("what").agg(F.count_if(F.col("ms") > 0).cast("int").alias("answers"))
 
 
 # --- cache -----------------------------------------------------------------------------------------------------------
