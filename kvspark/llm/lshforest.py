@@ -24,7 +24,12 @@ node passed on the way with the one nearest to the majority of their bits, the
 likely origin of a family. What it may have missed stays open. The second pass
 climbs to the prefix at which recall holds and compares whole nodes of it: one of more
 than ``DENSE`` texts is cut to blocks, and every two blocks meet in a task, but texts of
-one class aren't compared again.
+one class aren't compared again. It runs twice: first it only marks the texts that have a
+candidate in another class. Shingles that no other of these has cannot be common to a
+pair, which bounds the similarity of every pair from above; the second time, pairs whose
+bound is too low are left out. So a family of texts of one template that are near by
+SimHash, but not similar, isn't verified pair by pair. What is left is verified in cells,
+part of a class with part of the texts near it, so that a text moves once per cell.
 Equal texts are one node from the start, and text moves only to verify.
 
 Defined results: a text without words (or null) is a class of its own; with fewer
@@ -59,8 +64,8 @@ LEAF, DENSE = 512, 16_384
 MOST_TRIES = 128
 #: Rows of one trie partition.
 RANGE = 300_000
-#: Shingles verified in one task at once, about.
-BLOCK = 400_000
+#: Shingles verified in one task at once, about; pairs of them in a cell of a class.
+BLOCK, CELL_PAIRS = 400_000, 100_000
 SEED = 3
 #: Sets of at most so many shingles are short; SimHashes of sets above ``LIMIT`` differ as ``agreement`` says.
 SHORT, LIMIT = 8, 24
@@ -249,6 +254,7 @@ def _in_blocks(nodes: DataFrame, depth: int, tries: int, all_tries: int, dense:
 
     ``side`` is 0 where all rows of a (trie, prefix, pair) are to be compared, otherwise 1 or 2: with the other side only.
     """
+    columns = ["node", "s1", "s2", "label", "short", "n", "common"]
     orders, big = _orders(all_tries), _dense_nodes(nodes, depth, tries, all_tries, dense)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +280,12 @@ def _in_blocks(nodes: DataFrame, depth: int, tries: int, all_tries: int, dense:
                         pa.array(np.full(len(part), t, np.int32)), pa.array(prefix[part].view(np.int64)),
                         pa.array(pair[c : c + 65536]), pa.array(side[c : c + 65536]), *rows.take(pa.array(part)).columns,
                     ],
-                    names=["trie", "prefix", "pair", "side", "node", "s1", "s2", "label", "short"],
+                    names=["trie", "prefix", "pair", "side", *columns],
                 )
 
-    return nodes.select("node", "s1", "s2", "label", "short").mapInArrow(
-        spread, "trie int, prefix long, pair long, side byte, node long, s1 long, s2 long, label long, short boolean"
+    return nodes.select(columns).mapInArrow(
+        spread,
+        "trie int, prefix long, pair long, side byte, node long, s1 long, s2 long, label long, short boolean, n long, common long",
     )
 
 
@@ -338,13 +345,20 @@ def compared(
             yield i[keep], j[keep]
 
 
+def possible(n_a: np.ndarray, n_b: np.ndarray, common_a: np.ndarray, common_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of so many shingles, of which at most so many are in any other set, can have this Jaccard similarity."""
+    return (1 + similarity) * np.minimum(common_a, common_b) >= similarity * (n_a + n_b) - 1e-6
+
+
 def candidates(
     nodes: DataFrame, depth: int, tries: int, most: int, every: bool, dense: int = DENSE,
-    tries_short: int = 0, most_short: int = 0,
+    tries_short: int = 0, most_short: int = 0, similarity: float = SIMILARITY, marked: bool = False,
 ) -> DataFrame:
     """Distinct (a, b), a < b: candidate pairs of ``nodes`` (node, s1, s2, label, perhaps short) with different labels.
 
     Short nodes are in ``tries_short`` tries, and two of them are candidates up to ``most_short`` bits, where that is more.
+    With ``n`` and ``common`` (the most that each has in common with another), ``every`` leaves out pairs that can't be similar.
+    ``marked``: instead of the pairs, (a, a) of each node that is in one.
 
     Not ``every``: of each node, the first candidate below it and the first above it, as far as one task sees them,
     and (a, a) of each node that may have others.
@@ -355,8 +369,11 @@ def candidates(
     rows = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short")).first()
     n = max(1, math.ceil((rows.n * tries + rows.short * (all_tries - tries)) / RANGE))
     if every:
+        for bound in ("n", "common"):
+            if bound not in nodes.columns:
+                nodes = nodes.withColumn(bound, F.lit(0).cast("long"))
         placed = _in_blocks(nodes, depth, tries, all_tries, dense)
-        return _all_candidates(placed, most, most_short, n)
+        return _all_candidates(placed, most, most_short, n, similarity, marked)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -424,28 +441,42 @@ def _central(s: np.ndarray) -> int:
     return int(np.bitwise_count(s ^ middle).sum(axis=1).argmin())
 
 
-def _all_candidates(placed: DataFrame, most: int, most_short: int, n: int) -> DataFrame:
-    """Every candidate pair of each whole node."""
+def _all_candidates(placed: DataFrame, most: int, most_short: int, n: int, similarity: float, marked: bool) -> DataFrame:
+    """Every candidate pair of each whole node; ``marked``: (a, a) of all that are in one."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        trie, prefix, pair, side, node, s1, s2, label, short = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
+        trie, prefix, pair, side, node, s1, s2, label, short, size_of, common = (
+            c.to_numpy() for c in pa.Table.from_batches(got).columns
+        )
         s = np.column_stack((s1, s2)).view(np.uint64)
         new = (trie[1:] != trie[:-1]) | (prefix[1:] != prefix[:-1]) | (pair[1:] != pair[:-1])
         bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(s)]))
         found: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         size = 0
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            in_pair = np.zeros(b - a, bool)
             for i, j in compared(s[a:b], label[a:b], side[a:b], most, short[a:b], most_short):
+                keep = possible(size_of[a + i], size_of[a + j], common[a + i], common[a + j], similarity)
+                i, j = i[keep], j[keep]
+                if marked:
+                    in_pair[i] = in_pair[j] = True
+                    continue
                 found.append(np.column_stack((node[a + i], node[a + j])))
                 size += len(i)
                 if size > 200_000:
                     yield _pairs_batch(found)
                     found, size = [], 0
+            if marked and in_pair.any():
+                marks.append(node[a:b][in_pair])
         if size:
             yield _pairs_batch(found)
+        if marks:
+            alone = np.unique(np.concatenate(marks))
+            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(alone)], names=["a", "b"])
 
     keys = ("trie", "prefix", "pair")
     return placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(pairs, "a long, b long").distinct()
@@ -458,6 +489,16 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
 
+def with_text(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``wanted`` (doc_id, key, others) with the text of a row of ``docs`` that has both."""
+    texts = docs.select(
+        F.col(doc_id).alias("its_id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("its_key"), F.col(text).alias("text")
+    )
+    return wanted.hint("shuffle_hash").join(
+        texts, (F.col("key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
+    ).drop("its_id", "its_key")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
     """(a, b, similar) of every pair, by the Jaccard similarity of their shingle sets.
 
@@ -471,14 +512,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, tex
     needs = placed.select("a", "block", F.col("b").alias("node")).unionByName(
         placed.select("a", "block", F.col("a").alias("node")).distinct()
     )
-    owners = nodes.select("node", F.col("doc_id").alias("its_id"), "key")
-    wanted = needs.join(owners, "node")
-    texts = docs.select(
-        F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("its_key"), F.col(text).alias("text")
-    )
-    held = wanted.hint("shuffle_hash").join(
-        texts, (F.col("key") == F.col("its_key")) & F.col("its_id").eqNullSafe(F.col("doc_id"))
-    ).select("a", "block", "node", "text")
+    owners = nodes.select("node", "doc_id", "key")
+    held = with_text(needs.join(owners, "node"), docs, doc_id, text).select("a", "block", "node", "text")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
@@ -491,6 +526,65 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, tex
     return held.groupBy("a", "block").applyInPandas(compare, "a long, b long, similar boolean")
 
 
+def own_shingles(held: DataFrame) -> DataFrame:
+    """(node, own): how many of its shingles no other row of ``held`` (node, text) has; nodes with none are left out."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                node = part.column(0).to_numpy()
+                for k, (grams, _) in enumerate(shingle_sets([x.as_py().encode() for x in part.column(1)])):
+                    for c in range(0, len(grams), 65536):
+                        own = grams[c : c + 65536].view(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(own), pa.array(np.full(len(own), node[k]))], names=["gram", "node"]
+                        )
+
+    counted = held.select("node", "text").mapInArrow(shingles, "gram long, node long").groupBy("gram")
+    once = counted.agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def verify_classes(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similar) like ``verify``, for pairs of ``held`` (node, label, n, text); a and b may change places.
+
+    A pair belongs to the larger class of its two. The texts of a class and those to be compared with them are cut to parts
+    of about ``BLOCK`` shingles, and two parts meet in a cell.
+    """
+    ends = held.select("node", "label", "n").distinct()
+    members = ends.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    ends = written(ends.join(members, "label").select("node", F.struct("members", "label", "n", F.col("node").alias("id")).alias("end")), "ends")
+    sided = pairs
+    for side in ("a", "b"):
+        sided = sided.join(ends.select(F.col("node").alias(side), F.col("end").alias(f"end_{side}")), side)
+    lead, other = F.greatest("end_a", "end_b"), F.least("end_a", "end_b")
+    sided = sided.select(lead.alias("x"), other.alias("y")).select(
+        F.col("x.label").alias("lead"), F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")
+    )
+    sided = written(sided, "sided")
+    per_a = sided.groupBy("lead", "a").agg(F.min("n_a").alias("n_a"), F.count(F.lit(1)).alias("pairs"))
+    per_b = sided.groupBy("lead", "b").agg(F.min("n_b").alias("n_b"))
+    sizes = per_a.groupBy("lead").agg(F.ceil(F.sum("n_a") / F.lit(BLOCK)).alias("parts_a"), F.sum("pairs").alias("pairs"))
+    sizes = sizes.join(per_b.groupBy("lead").agg(F.ceil(F.sum("n_b") / F.lit(BLOCK)).alias("parts_b")), "lead")
+    cells = F.ceil(F.col("pairs") / (F.col("parts_a") * F.lit(CELL_PAIRS)))
+    sizes = written(sizes.withColumn("parts_b", F.greatest("parts_b", cells)), "cells")
+    placed = join_hot(sided, sizes, "lead", "pairs", sided.count()).select(
+        "lead", F.pmod(F.xxhash64("a"), F.col("parts_a")).alias("part_a"), F.pmod(F.xxhash64("b"), F.col("parts_b")).alias("part_b"), "a", "b"
+    )
+    placed = written(placed, "placed")
+    cell = ["lead", "part_a", "part_b"]
+    needs = placed.select(*cell, F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = needs.join(held.select("node", "text"), "node").toDF("node", "its_lead", "its_a", "its_b", "text")
+
+    def compare(texts: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(zip(texts["node"], (g for g, _ in shingle_sets([t.encode() for t in texts["text"]])), strict=True))
+        similar = [jaccard(sets[a], sets[b]) >= similarity for a, b in zip(its["a"], its["b"], strict=True)]
+        return pd.DataFrame({"a": its["a"], "b": its["b"], "similar": similar})
+
+    return texts.groupBy("its_lead", "its_a", "its_b").cogroup(placed.groupBy(*cell)).applyInPandas(compare, "a long, b long, similar boolean")
+
+
 def near_groups(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -521,11 +615,21 @@ def near_groups(
     # Only texts that have or may have a candidate at all, and pairs that cross classes and are still open.
     touched = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     open_nodes = nodes.join(touched, "node", "left_semi").join(classes, "node", "left")
-    open_nodes = written(open_nodes.withColumn("label", F.coalesce("root", "node")), "open-nodes")
-    second = candidates(open_nodes, depth, tries, most, True, dense, **for_short).join(first, ["a", "b"], "left_anti")
+    open_nodes = open_nodes.withColumn("label", F.coalesce("root", "node")).withColumn("common", F.col("n"))
+    open_nodes = written(open_nodes, "open-nodes")
+    shape = {"depth": depth, "tries": tries, "most": most, "every": True, "dense": dense, "similarity": similarity, **for_short}
+    crossing = candidates(open_nodes, **shape, marked=True).select(F.col("a").alias("node"))
+    held = with_text(open_nodes.join(crossing, "node", "left_semi").drop("common"), docs, doc_id, text)
+    held = written(held, "crossing")
+    # A row that is repeated is held as often.
+    bounded = held.drop("text").distinct().join(own_shingles(held), "node", "left")
+    bounded = bounded.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    # What a text shares with another is at most ``common``, of at least its own ``n``.
+    bounded = written(bounded.filter(F.col("common") >= F.lit(similarity) * F.col("n") - 1e-6), "bounded")
+    second = candidates(bounded, **shape).join(first, ["a", "b"], "left_anti")
     second = written(second, "second-pairs")
     if not second.isEmpty():
-        more = written(verify(second, nodes, docs, doc_id, text, similarity), "second-links").filter("similar")
+        more = written(verify_classes(second, held, similarity), "second-links").filter("similar")
         links = links.unionByName(more.select(F.col("b").alias("u"), F.col("a").alias("v")))
         classes = written(components(links), "classes")
 

@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from helpers import AWKWARD, empty, table, words
 
+from kvspark.llm import lshforest
 from kvspark.llm.graph import components
 from kvspark.llm.lshforest import (
-    MOST_TRIES, agreement, candidates, drop_near_copies, forest_recall, forest_shape, most_bits, near, near_groups, simhash,
+    MOST_TRIES, agreement, candidates, drop_near_copies, forest_recall, forest_shape, most_bits, near, near_groups, own_shingles,
+    possible, simhash, verify_classes,
 )
 from kvspark.llm.shingles import jaccard, shingle_sets
 
@@ -207,3 +209,65 @@ def test_recall_of_default_parameters_over_many_texts(spark, common):
     found = candidates(frame, depth, tries, most_bits(0.8), True).filter(f"a + b = {n - 1}").count()
     print("recall", common, found / pairs)
     assert found >= 0.95 * pairs
+
+
+def test_a_family_below_the_threshold_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Texts of one template, 0.64 to each other, beside a class of near copies of the template: near by SimHash, not similar."""
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(300)]
+
+    def changed(k, places):
+        copy = list(base)
+        for at in rng.sample(range(5, 295, 6), places):
+            copy[at] = f"z{k}.{at}"
+        return " ".join(copy)
+
+    texts = [changed(k, 13) for k in range(300)] + [changed(k, 2) for k in range(300, 400)]
+    counted = {}
+
+    def counting(df, label, written=lshforest.written):
+        out = written(df, label)
+        counted[label] = out.count() if label == "second-pairs" else None
+        return out
+
+    monkeypatch.setattr(lshforest, "written", counting)
+    rows = near_groups(table(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(brute(texts)))
+    assert counted["second-pairs"] <= len(texts)
+
+
+def test_no_similar_pair_is_above_its_bound(spark):
+    texts = [t for t in corpus(random.Random(11), 15, 20) if t]
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    own = {r.node: r.own for r in own_shingles(held.unionByName(held.limit(5))).collect()}
+    sets = [shingles(t) for t in texts]
+    for i, mine in enumerate(sets):
+        rest = set().union(*(x for j, x in enumerate(sets) if j != i))
+        assert own.get(i, 0) == len(mine - rest)
+    n = np.array([len(x) for x in sets])
+    common = n - np.array([own.get(i, 0) for i in range(len(n))])
+    similar = 0
+    for i in range(len(n)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                assert possible(n[i], n[j], common[i], common[j], 0.8)
+                assert common[i] >= 0.8 * n[i] - 1e-6 and common[j] >= 0.8 * n[j] - 1e-6
+                similar += 1
+    assert similar > 10
+    # 4 of 5 is at 0.8 exactly
+    assert possible(np.array([4]), np.array([5]), np.array([4]), np.array([4]), 0.8).all()
+    assert not possible(np.array([4]), np.array([6]), np.array([4]), np.array([6]), 0.8).any()
+
+
+def test_cells_verify_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(lshforest, "BLOCK", 1500)
+    monkeypatch.setattr(lshforest, "CELL_PAIRS", 100)
+    texts = corpus(random.Random(13), 8, 12)
+    rows = [(i, i // 7, len(shingles(t)), t) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows + rows[:4], "node long, label long, n long, text string")
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i // 7 != j // 7]
+    got = verify_classes(spark.createDataFrame(want, "a long, b long"), held, 0.8).collect()
+    assert sorted(tuple(sorted((r.a, r.b))) for r in got) == want
+    for r in got:
+        a, b = shingles(texts[r.a]), shingles(texts[r.b])
+        assert r.similar == (len(a & b) >= 0.8 * len(a | b))
