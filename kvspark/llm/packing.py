@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvspark.llm.tables import written
+from kvspark.llm.tables import small_batches, written
 
 CAPACITY = 4096
 END = 1
@@ -35,6 +35,8 @@ END = 1
 BUCKET = 50_000
 #: Rows of an Arrow batch that the tokeniser works on at once.
 _SLICE = 64
+#: Bytes of text that a task hands to the tokeniser at once, or one text.
+_BATCH = 4 << 20
 
 
 def tokenised(
@@ -71,6 +73,7 @@ def tokenised(
                     + [pa.array(x, pa.int64()) for x in (start, length, crc)],
                     names=["doc_id", "row", "piece", "start", "length", "ids_crc32"],
                 )
+        words.trim()
 
     return columns.mapInArrow(cut, schema)
 
@@ -141,7 +144,8 @@ def _segments(bins: list[tuple[list[int], int]], capacity: int) -> tuple[np.ndar
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
     """``pieces`` (with a column ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
-    pieces = written(pieces, "pieces")
+    with small_batches(pieces.sparkSession, _BATCH):
+        pieces = written(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys, ranks, firsts, many, places = _segments(plan(histogram, capacity), capacity)
     # Ranks within a length: in hash buckets, whose first ranks are running sums of their counts.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvspark.sources.scratch import scratch_path, shared_folder, written
 
-__all__ = ["fresh", "join_hot", "scratch_path", "shared_folder", "written"]
+__all__ = ["fresh", "join_hot", "scratch_path", "shared_folder", "small_batches", "written"]
 
 #: A group with at least 1 / HOT of all rows is hot; so there are at most HOT such groups.
 HOT = 1000
@@ -21,6 +24,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs within send Python workers about ``size`` bytes at once; the executor and the worker each hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def join_hot(rows: DataFrame, groups: DataFrame, on: str | Column | list[str], n: str, total: int) -> DataFrame:
     """``rows`` joined to ``groups``, one row a group with its number ``n`` of the ``total`` rows.
 

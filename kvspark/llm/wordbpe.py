@@ -16,12 +16,15 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate, takewhile
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words, and characters in them, kept at most per Python worker; beyond either the table starts anew.
 MOST_WORDS, MOST_CHARS = 1_200_000, 16_000_000
+#: Words, and characters in them, that a Python worker keeps when a task ends: the first met, so the frequent ones.
+KEPT_WORDS, KEPT_CHARS = 100_000, 1_300_000
 #: White space other than the four common ones, controls and format characters, capitals with contextual lower case.
 _ODD = re.compile(
     "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
@@ -101,6 +104,14 @@ class WordIds:
         for text, words in zip(texts, split, strict=True):
             yield self._whole(text) if words is None else b"".join(map(known.__getitem__, words))
 
+    def trim(self) -> None:
+        """Forget all words but the first; workers outlive the task, and each that is at hand may have had one."""
+        if len(self.known) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            sums = accumulate(map(len, self.known))
+            n = min(KEPT_WORDS, sum(1 for _ in takewhile(lambda x: x <= KEPT_CHARS, sums)))
+            self.known = {word: self.known[word] for word, _ in zip(self.known, range(n), strict=False)}
+            self.chars = sum(map(len, self.known))
+
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:

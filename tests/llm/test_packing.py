@@ -1,15 +1,19 @@
 import random
+import sys
+import time
 import zlib
 from math import ceil
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from helpers import AWKWARD, empty, prose, table
 from tokenizers import Tokenizer
 
+from kvspark.llm import packing
 from kvspark.llm.catalog import WORD_BPE
 from kvspark.llm.packing import fullest, pack, pack_documents, plan
-from kvspark.llm.wordbpe import WordIds
+from kvspark.llm.wordbpe import KEPT_WORDS, WordIds
 
 
 def test_word_ids_are_those_of_the_tokenizer():
@@ -104,3 +108,46 @@ def test_one_length_over_many_buckets(spark):
         filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
     # 1667 pieces of 60 with one of 40 each, and 1666 more of 40, two to a bin.
     assert max(filled.values()) <= 100 and len(filled) == 1667 + 833
+
+
+def test_tokeniser_gets_small_batches_and_the_setting_stays(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    # In place of the checksum: the bytes of the batch that the tokeniser has in hand.
+    monkeypatch.setattr(packing, "zlib", SimpleNamespace(crc32=lambda _: sys._getframe(1).f_locals["batch"].nbytes))
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat('a b c d e f g ', 4000) AS text")
+    rows = pack_documents(docs, WORD_BPE).collect()
+    assert len({r.doc_id for r in rows}) == 600 and spark.conf.get(key) == before
+    assert max(r.ids_crc32 for r in rows) < 2 * packing._BATCH
+
+
+def test_trimmed_words_are_the_first_and_ids_stay():
+    rng, direct = random.Random(5), Tokenizer.from_file(WORD_BPE)
+    coder, texts = WordIds(WORD_BPE), ["early words", " ".join(f"x{i:x}y" for i in range(KEPT_WORDS + 5000)), "x5y later ones"]
+    for text in texts:
+        list(coder.encode([text]))
+    coder.trim()
+    assert len(coder.known) == KEPT_WORDS and {"early", "words"} <= coder.known.keys() and "later" not in coder.known
+    texts = ["x5y later early", prose(rng, 50)]
+    for text, raw in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == direct.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_keep_few_words_after_packing(spark):
+    text = "concat_ws(' ', transform(sequence(0, 299), x -> concat('w', hex(id * 300 + x), 'q')))"
+    docs = spark.range(0, 500, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")
+    pack_documents(docs, WORD_BPE).collect()
+    path = WORD_BPE
+
+    def held(batches):
+        import pyarrow as pa
+
+        from kvspark.llm.wordbpe import word_ids
+
+        n = len(word_ids(path).known) if word_ids.cache_info().currsize else 0
+        time.sleep(0.5)  # so that each worker gets one of the tasks
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    most = max(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect())
+    assert 0 < most <= KEPT_WORDS
