@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +50,84 @@ def lookup(filters: DataFrame, probes: DataFrame, token: str, bits: int, k: int,
     return marked.groupBy("key").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias("maybe"))
 
 
+#: Probes that a task of ``lookup_runs`` holds, and bits of filters that it holds at once (32 MB).
+KEYS_HELD, BITS_HELD = 500_000, 1 << 28
+#: Bytes of hits, of eight runs each, that are unpacked at once.
+HITS_AT_ONCE = 1 << 15
+
+
 def lookup_runs(filters: DataFrame, probes: DataFrame, token: str, bits: int, k: int) -> DataFrame:
-    """(key, run_id) of the runs whose filter (run_id, bit) may hold a probe."""
-    all_at = F.array_distinct(positions(F.col("key"), token, modulus(bits), k))
-    at = probes.select("key").distinct().select("key", F.size(all_at).alias("need"), F.explode(all_at).alias("bit"))
-    hit = at.join(filters, "bit").groupBy("key", "run_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return hit.filter("n = need").select("key", "run_id")
+    """(key, run_id) of the runs whose filter (run_id, bit) may hold a probe.
+
+    Every pair of a probe and a run is tested, eight runs to a byte: a task holds one block of the probes and goes
+    through all filters, some at a time. No row is made for a pair before all of its bits are found.
+    """
+    from kvspark.sources.scratch import written
+
+    spark, m = filters.sparkSession, modulus(bits)
+    asked = written(probes.select("key").distinct().filter("key IS NOT NULL"), "asked")
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-asked.count() // KEYS_HELD))
+    words = packed(filters.filter("bit IS NOT NULL"), ["run_id"]).groupBy("run_id").agg(F.collect_list(F.struct("word", "mask")).alias("w"))
+    key, run = asked.schema["key"].dataType, filters.schema["run_id"].dataType
+    runs = words.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast(key).alias("key"), "run_id",
+        F.col("w.word").alias("at"), F.col("w.mask").alias("mask"),
+    )
+    keys = asked.select(
+        F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("part"), F.lit(0).alias("kind"), "key", F.lit(None).cast(run).alias("run_id"),
+        positions(F.col("key"), token, m, k).alias("at"), F.array().cast("array<bigint>").alias("mask"),
+    )
+    ordered = keys.unionByName(runs).repartitionById(n, "part").sortWithinPartitions("kind")
+    at_once = max(8, BITS_HELD // m // 8 * 8)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _hits(batches, m, k, min(512, at_once))
+
+    types = f"key {key.simpleString()}, run_id {run.simpleString()}"
+    return ordered.select("kind", "key", "run_id", "at", "mask").mapInArrow(find, types)
+
+
+def _hits(batches: Iterator[pa.RecordBatch], m: int, k: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """(key, run_id) of probes (kind 0, bits in ``at``) and filters (kind 1, words and masks), probes first; ``at_once`` filters at a time."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    table, n, ids = np.zeros((m, at_once // 8), np.uint8), 0, []
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        n_keys = int(np.count_nonzero(kind == 0))
+        if n_keys:
+            own = batch.slice(0, n_keys)
+            held.append((own.column("key"), own.column("at").flatten().to_numpy().astype(np.int64).reshape(n_keys, k)))
+        if n_keys == len(kind) or not held:
+            continue
+        runs = batch.slice(n_keys)
+        counts = np.diff(runs.column("at").offsets.to_numpy())
+        ends = np.cumsum(counts)
+        words, masks = runs.column("at").flatten().to_numpy(), runs.column("mask").flatten().to_numpy()
+        for i in range(len(runs)):
+            mine = slice(ends[i] - counts[i], ends[i])
+            of_word, bit = np.nonzero(masks[mine, None] >> np.arange(63) & 1)
+            table[words[mine][of_word] * 63 + bit, n // 8] |= np.uint8(1 << n % 8)
+            ids.append(runs.column("run_id").slice(i, 1))
+            n += 1
+            if n == at_once:
+                yield from _pairs(held, table, pa.concat_arrays(ids))
+                table[:], n, ids = 0, 0, []
+    if n:
+        yield from _pairs(held, table, pa.concat_arrays(ids))
+
+
+def _pairs(held: list[tuple[pa.Array, np.ndarray]], table: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The pairs of probes (keys, bits) and runs whose row of ``table`` (bits by runs, eight to a byte) is set at all bits."""
+    for keys, at in held:
+        found = table[at[:, 0]]
+        for j in range(1, at.shape[1]):
+            found &= table[at[:, j]]
+        hit = np.flatnonzero(found)
+        for a in range(0, len(hit), HITS_AT_ONCE):
+            some = hit[a : a + HITS_AT_ONCE]
+            byte, bit = np.nonzero(np.unpackbits(found.ravel()[some, None], axis=1, bitorder="little"))
+            key, first = np.divmod(some[byte], table.shape[1])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(key)), ids.take(pa.array(first * 8 + bit))], names=["key", "run_id"])
 
 
 def merge(filters: list[DataFrame]) -> DataFrame:

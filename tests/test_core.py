@@ -274,6 +274,25 @@ def test_stored_filters(spark, n):
     assert bloom.probe(filters, {}, asked, "i64").collect() == []
 
 
+@pytest.mark.parametrize("token,sql", [("u32", "id"), ("str:8", "concat('k', id)")])
+def test_filters_of_many_runs(spark, monkeypatch, token, sql):
+    """Against a filter of bits for each run: no join pairs every bit of a probe with every run that has it set."""
+    monkeypatch.setattr(bloom, "BITS_HELD", 1000 * 16, raising=False)
+    monkeypatch.setattr(bloom, "HITS_AT_ONCE", 7, raising=False)
+    log = spark.range(400).selectExpr("IF(id % 50 = 0, NULL, id) AS id", "IF(id >= 380, NULL, id DIV 10) AS run_id").selectExpr(f"{sql} AS key", "run_id")
+    asked = spark.range(0, 3000, 3).selectExpr("IF(id = 0, NULL, id) AS id").selectExpr(f"{sql} AS key")
+    built = bloom.build(log, token, 1000, 3, by=["run_id"])
+    found = bloom.lookup_runs(built, asked.union(asked), token, 1000, 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    own = {}
+    for r in built.collect():
+        own.setdefault(r.run_id, set()).add(r.bit)
+    places = asked.dropna().select("key", bloom.positions(F.col("key"), token, 1000, 3).alias("at")).collect()
+    want = [(p.key, run) for p in places for run, bits in own.items() if bits.issuperset(p.at)]
+    assert len(own) == 39 and len(want) > 100 and sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert bloom.lookup_runs(built, asked.limit(0), token, 1000, 3).count() == bloom.lookup_runs(built.limit(0), asked, token, 1000, 3).count() == 0
+
+
 def test_zero_and_one_are_different_bits(spark):
     keys = spark.createDataFrame([(0,), (1,)], "key long")
     only = bloom.build(keys.filter("key = 0"), "u32", 1000, 1)
