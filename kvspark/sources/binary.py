@@ -48,6 +48,8 @@ BLOCK = 50_000
 PAGE, RANGE = 1_000, 2_000_000
 #: False-positive rate of a run's filter.
 ERROR_RATE = 0.2
+#: Bytes of a filter that are spelled out at once, and of its text that are read at once.
+SPELLED, TEXT_READ = 4_096, 16_384
 
 
 class FormatError(ValueError):
@@ -162,10 +164,10 @@ def _text(files: pafs.FileSystem, path: str) -> str | None:
 # --- siblings of a run ---
 
 
-def index_text(keys: np.ndarray, token: str, size: int, header_bytes: int = 13) -> str:
-    """``key,offset`` of every ``PAGE``-th key; texts are quoted, so that a comma in a key is none of the list."""
+def index_text(first_keys: np.ndarray, token: str, size: int, header_bytes: int = 13) -> str:
+    """``key,offset`` of the pages' first keys; texts are quoted, so that a comma in a key is none of the list."""
     spell = (lambda k: quote(k.decode(), safe="")) if token.startswith("str:") else (lambda k: str(int(k)))
-    return ",".join(f"{spell(k)},{header_bytes + i * PAGE * size}" for i, k in enumerate(keys[::PAGE].tolist()))
+    return ",".join(f"{spell(k)},{header_bytes + i * PAGE * size}" for i, k in enumerate(first_keys.tolist()))
 
 
 def parse_index(text: str, token: str) -> tuple[list, list[int]]:
@@ -185,21 +187,38 @@ def bit_places(keys: np.ndarray, token: str, bits: int, hashes: int) -> np.ndarr
     return np.column_stack([hash_keys(own, token, s) % modulus(bits) for s in seeds(hashes)])
 
 
-def filter_text(keys: np.ndarray, token: str) -> str:
-    """``bits,hashes`` and, on a line of its own, the filter's bytes as numbers."""
-    bits, hashes = sizing(max(1, len(keys)), ERROR_RATE)
+def filter_text(n: int, keys: Iterable[np.ndarray], token: str) -> Iterator[str]:
+    """``bits,hashes`` and, on a line of its own, the bytes of a filter of ``n`` keys as numbers; in pieces, from blocks of keys."""
+    bits, hashes = sizing(max(1, n), ERROR_RATE)
     hashes = max(1, hashes)
-    raw = np.zeros(modulus(bits), np.uint8)
-    if len(keys):
-        raw[bit_places(keys, token, bits, hashes).ravel()] = 1
-    return f"{bits},{hashes}\n" + ",".join(map(str, np.packbits(raw, bitorder="little").tolist()))
+    held = np.zeros(modulus(bits) // 8, np.uint8)
+    for own in keys:
+        at = bit_places(own, token, bits, hashes).ravel()
+        np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    yield f"{bits},{hashes}\n"
+    for i in range(0, len(held), SPELLED):
+        yield ("," if i else "") + ",".join(map(str, held[i : i + SPELLED].tolist()))
 
 
-def parse_filter(text: str) -> tuple[int, int, np.ndarray]:
-    """(bits, hashes, one 0 or 1 for every bit)."""
-    head, _, body = text.partition("\n")
-    bits, hashes = map(int, head.split(","))
-    return bits, hashes, np.unpackbits(np.array(body.split(","), dtype=np.uint8), bitorder="little")
+def filter_head(files: pafs.FileSystem, path: str) -> tuple[int, int] | None:
+    """(bits, hashes) of a filter file, None if there is none."""
+    if files.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with files.open_input_stream(path) as f:
+        head = f.read(64)
+    return tuple(map(int, head.partition(b"\n")[0].split(b","))) if head else None
+
+
+def filter_bytes(files: pafs.FileSystem, path: str) -> Iterator[np.ndarray]:
+    """The bytes of a filter file, some at a time, bit 0 the lowest of the first."""
+    with files.open_input_stream(path) as f:
+        rest = f.read(64).partition(b"\n")[2]
+        while more := f.read(TEXT_READ):
+            whole, comma, rest = (rest + more).rpartition(b",")
+            if comma:
+                yield np.array(whole.decode().split(","), dtype=np.uint8)
+        if rest:
+            yield np.array(rest.decode().split(","), dtype=np.uint8)
 
 
 def file_stats(path: str, key_type: str, value_type: str) -> list[dict]:
@@ -207,10 +226,10 @@ def file_stats(path: str, key_type: str, value_type: str) -> list[dict]:
     size, out = record_type(key_type, value_type).itemsize, []
     for name, n_bytes in listed(path, ".sst"):
         files, _ = place(path)
-        index, kept = _text(files, name.removesuffix(".sst") + ".index"), _text(files, name.removesuffix(".sst") + ".bloom")
+        index, head = _text(files, name.removesuffix(".sst") + ".index"), filter_head(files, name.removesuffix(".sst") + ".bloom")
         out.append({
             "file": name, "records": (n_bytes - 13) // size, "bytes": n_bytes, "pages": len(parse_index(index or "", key_type)[0]),
-            "filter_bits": parse_filter(kept)[0] if kept else 0,
+            "filter_bits": head[0] if head else 0,
         })
     return out
 
@@ -295,10 +314,10 @@ class RunReader(_Reader):
         wanted = self._wanted()
         for path, n in self.files():
             base = path.removesuffix(".sst")
-            kept, index = _text(files, base + ".bloom"), _text(files, base + ".index")
-            if kept:
-                bits, hashes, held = parse_filter(kept)
-                if not held[bit_places(wanted, self.key_type, bits, hashes)].all():
+            head, index = filter_head(files, base + ".bloom"), _text(files, base + ".index")
+            if head:
+                at = bit_places(wanted, self.key_type, *head).ravel()
+                if not (np.concatenate(list(filter_bytes(files, base + ".bloom")))[at >> 3] >> (at & 7) & 1).all():
                     continue
             if index is None:
                 out += [_Range(path, a, min(RANGE, n - a)) for a in range(0, n, RANGE)]
@@ -381,17 +400,22 @@ class _SiblingReader(DataSourceReader):
     def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        text = _text(place(self.path)[0], partition.path) or ""
+        files, _ = place(self.path)
         if self.suffix == ".index":
-            keys, offsets = parse_index(text, self.key_type)
+            keys, offsets = parse_index(_text(files, partition.path) or "", self.key_type)
             column = pa.array([k.decode() for k in keys], pa.string()) if self.key_type.startswith("str:") else _column(np.array(keys, _dtype(self.key_type)), self.key_type)
             columns = [pa.array(range(len(keys)), pa.int64()), column, pa.array(offsets, pa.int64())]
-            names = ["page", "first_key", "offset"]
-        else:
-            bits, hashes, held = parse_filter(text)
-            at = np.flatnonzero(held)
-            columns, names = [pa.array(np.full(len(at), bits)), pa.array(np.full(len(at), hashes, np.int32)), pa.array(at)], ["bits", "hashes", "bit"]
-        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(columns[0]), pa.string()), *columns], names=["file", *names])
+            yield pa.RecordBatch.from_arrays([pa.repeat(partition.path, len(keys)), *columns], names=["file", "page", "first_key", "offset"])
+            return
+        head = filter_head(files, partition.path)
+        if head is None:
+            raise FormatError(f"{partition.path} is not a filter")
+        first = 0
+        for held in filter_bytes(files, partition.path):
+            at = np.flatnonzero(np.unpackbits(held, bitorder="little")) + first
+            first += 8 * len(held)
+            columns = [pa.repeat(partition.path, len(at)), pa.array(np.full(len(at), head[0])), pa.array(np.full(len(at), head[1], np.int32)), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "bits", "hashes", "bit"])
 
 
 # --- writers ---
@@ -410,8 +434,11 @@ class _Writer(DataSourceArrowWriter):
     def records(self, batch: pa.RecordBatch) -> np.ndarray:
         raise NotImplementedError
 
-    def siblings(self, keys: list[np.ndarray]) -> dict[str, str]:
-        """What stands beside a file of these keys, by suffix."""
+    def look(self, records: np.ndarray) -> None:
+        """Called with the records of every batch, for ``siblings``."""
+
+    def siblings(self, files: pafs.FileSystem, path: str) -> dict[str, Iterable[str]]:
+        """What stands beside the file that has been written to ``path``, by suffix, in pieces."""
         return {}
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -421,18 +448,18 @@ class _Writer(DataSourceArrowWriter):
         files, root = place(self.path)
         files.create_dir(root, recursive=True)
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
-        keys = []
         with files.open_output_stream(f"{root}/_{name}{self.suffix}") as f:
             f.write(self.head())
             for batch in iterator:
                 records = self.records(batch)
-                keys.append(records["key"].copy())
+                self.look(records)
                 f.write(records.tobytes())
         message = WriterCommitMessage()
         message.names = [name + self.suffix]
-        for suffix, text in self.siblings(keys).items():
+        for suffix, pieces in self.siblings(files, f"{root}/_{name}{self.suffix}").items():
             with files.open_output_stream(f"{root}/_{name}{suffix}") as f:
-                f.write(text.encode())
+                for text in pieces:
+                    f.write(text.encode())
             message.names.append(name + suffix)
         return message
 
@@ -461,13 +488,31 @@ class RunWriter(_Writer):
     def head(self) -> bytes:
         return header(self.key_type, self.value_type)
 
-    def siblings(self, keys: list[np.ndarray]) -> dict[str, str]:
-        own = np.concatenate(keys) if keys else np.zeros(0, _dtype(self.key_type))
-        out = {".bloom": filter_text(own, self.key_type)}
-        if (own[1:] >= own[:-1]).all():
-            out[".index"] = index_text(own, self.key_type, record_type(self.key_type, self.value_type).itemsize)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        none = np.zeros(0, _dtype(self.key_type))
+        self.count, self.ordered, self.last, self.first_keys = 0, True, none, [none]
+        return super().write(iterator)
+
+    def look(self, records: np.ndarray) -> None:
+        own = np.concatenate([self.last, records["key"]])
+        self.ordered = self.ordered and bool((own[1:] >= own[:-1]).all())
+        self.first_keys.append(records["key"][-self.count % PAGE :: PAGE].copy())
+        self.last, self.count = own[-1:], self.count + len(records)
+
+    def siblings(self, files: pafs.FileSystem, path: str) -> dict[str, Iterable[str]]:
+        out: dict[str, Iterable[str]] = {".bloom": filter_text(self.count, self._keys(files, path), self.key_type)}
+        if self.ordered:
+            out[".index"] = [index_text(np.concatenate(self.first_keys), self.key_type, record_type(self.key_type, self.value_type).itemsize)]
         return out
 
+    def _keys(self, files: pafs.FileSystem, path: str) -> Iterator[np.ndarray]:
+        """The keys of a file, a block at a time: the filter's size follows from their number, so they are read again."""
+        kind_ = record_type(self.key_type, self.value_type)
+        with files.open_input_stream(path) as f:
+            f.read(len(self.head()))
+            while data := f.read(kind_.itemsize * BLOCK):
+                yield np.frombuffer(data, kind_)["key"]
+
     def records(self, batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(batch.num_rows, record_type(self.key_type, self.value_type))
         out["start"], out["end"], out["cw"] = START, END, 4

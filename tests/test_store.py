@@ -2,10 +2,13 @@
 
 import os
 import threading
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kvspark.operators import bloom
 from kvspark.operators.oplog import fold
 from kvspark.plans import catalog
 from kvspark.plans.store import ColumnOptions, Database, Mutex, StoreError, TableOptions, merge_options
@@ -194,6 +197,33 @@ def test_keys_and_records_of_run_files(spark, tmp_path, key_type):
     assert spark.read.format("kv_log").options(**log).load().count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 1500, 300_000])
+def test_filter_files_are_written_and_read_in_pieces(spark, tmp_path, n):
+    """What is held at once doesn't grow with the file; the bits are those of a filter built by expressions."""
+    binary.register(spark)
+    options = {"path": f"{tmp_path}/r", "key_type": "i64", "value_type": "u32"}
+    rows = spark.range(n).selectExpr("id * 7 AS key", "id AS value", "0D AS ts_ms", "false AS deleted")
+    rows.coalesce(1).sortWithinPartitions("key").write.format("kv_run").options(**options).mode("append").save()
+    reader = binary._SiblingReader(options, ".bloom")
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert max(b.num_rows for b in batches) < 100_000
+    bits, k = batches[0].column("bits")[0].as_py(), batches[0].column("hashes")[0].as_py()
+    assert (bits, k) == bloom.sizing(n, binary.ERROR_RATE)
+    want = sorted(r.bit for r in bloom.build(rows.select("key"), "i64", bits, k).collect())
+    assert [x for b in batches for x in b.column("bit").to_pylist()] == want
+    assert binary.file_stats(options["path"], "i64", "u32")[0]["filter_bits"] == bits
+    index = [r.asDict() for r in spark.read.format("kv_index").options(**options).load().orderBy("page").collect()]
+    assert [(r["page"], r["first_key"]) for r in index] == [(i, 7000 * i) for i in range(-(-n // 1000))]
+    assert [r.value for r in spark.read.format("kv_run").options(**options, key=7 * (n - 1)).load().collect()] == [n - 1]
+    keys = np.arange(n) * 7
+    blocks = (keys[i : i + binary.BLOCK] for i in range(0, n, binary.BLOCK))
+    tracemalloc.start()
+    pieces = sum(len(x) > 0 for x in binary.filter_text(n, blocks, "i64"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces > n // 100_000 and most < 8e6
+
+
 TYPES = [("i64", "f64"), ("u32", "u32"), ("u64", "i8"), ("str:6", "str:3"), ("u16", "f32"), ("i32", "bool")]
 
 
